@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -21,6 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Clusters get the package by ``--py-files`` or in their image; this covers
+    workers that share the driver's file system but not its ``sys.path``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+
+
 class Scratch:
     """A folder of Parquet tables that cut lineage between the jobs of one operator.
 
@@ -32,6 +45,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
         self._n = 0
+        ship(spark)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
