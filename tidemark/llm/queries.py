@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,19 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity as T
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = T.train(docs, labels.where(~T.held_out()).select("doc_id", "toxic"))
+    return T.score(docs, model).select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(T.held_out("id"), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_groups
 
@@ -38,6 +52,7 @@ FROM d
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_toxicity_segments": op3_toxicity_segments,
     "op5_superminhash": op5_superminhash,
 }
 
