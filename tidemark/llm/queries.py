@@ -33,6 +33,12 @@ def op3_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_groups
 
@@ -61,6 +67,7 @@ FROM d
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_toxicity_segments": op3_toxicity_segments,
+    "op4_pigeonhole_decontamination": op4_pigeonhole_decontamination,
     "op5_superminhash": op5_superminhash,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
