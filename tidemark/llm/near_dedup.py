@@ -13,10 +13,11 @@ probability 1 - (1 - 0.8**5)**40 = 1 - 1.2e-7, more above.
 
 Scale. Texts with equal sets are one class and take part once. In each bucket
 of a band all members are compared with its smallest member, which is linear in
-the bucket; only in buckets whose members are still in different components are
-the rest compared, by signatures, in blocks of bounded size, leaving out pairs
-that are connected already. So no copies are expanded into all pairs, no
-member of a bucket is left out, and no bucket has to fit into one task.
+the bucket. Buckets with the same smallest member form a group; only members
+that are not yet in its component are compared with the others, in blocks of
+bounded size: signatures first, then whole sets, and only links that join two
+components leave the task. So no copies are expanded into all pairs, no member
+of a bucket is left out, and no bucket has to fit into one task.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ U = np.uint64
 BANDS, ROWS = 40, 5
 M = BANDS * ROWS
 ELEMENTS = 60_000  # of which permutations are held at once
-BLOCK = 256  # members of a bucket compared with each other at once
+BLOCK = 1024  # members of a group compared with each other at once
 NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -170,29 +171,54 @@ def _confirm(n_words: int, percent: int):
     return run
 
 
-def _compare(percent: int):
-    """Members of two blocks of a bucket -> pairs of different components whose signatures may be similar enough."""
-    # six standard deviations of the estimate below the threshold
+def _link(n_words: int, percent: int):
+    """Members of two blocks of one group -> links that join components, confirmed on whole sets."""
+    # six standard deviations of the signatures' estimate below the threshold
     least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / M) ** 0.5
 
     def run(table: pa.Table) -> pa.Table:
-        ids, n, comp = (table.column(c).to_numpy() for c in ("id", "n", "comp"))
-        block, first = table.column("blk").to_numpy(), table.column("center").to_numpy()
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        ids, comp, block = (table.column(c).to_numpy() for c in ("id", "comp", "blk"))
+        main = np.array(table.column("main").to_pylist(), bool)
+        kind, lo, hi = (table.column(c)[0].as_py() for c in ("kind", "lo", "hi"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), M)
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        data, off = W.buffers(table.column("text"))
+        el, eo = W.shingles(_lower(data), off, n_words)
+        size = np.diff(eo)
+        if kind == "main":
+            left, right = np.flatnonzero(~main), np.flatnonzero(main)
+        else:
+            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        # the right side's shingles, sorted, with their owners
+        pick = np.concatenate([np.arange(eo[i], eo[i + 1]) for i in right]) if len(right) else np.zeros(0, np.int64)
+        owner = np.repeat(right, size[right])
+        order = np.argsort(el[pick], kind="stable")
+        posted, owner = el[pick][order], owner[order]
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (p := parent.get(x, x)) != x:
+                x = p
+            return x
+
         a, c = [], []
         for i in left:
-            r = right[(right > i) | (lo != hi)]
-            small, large = np.minimum(n[r], n[i]), np.maximum(n[r], n[i])
-            r = r[(comp[r] != comp[i]) & (100 * small >= percent * large) & (first[i] != ids[r]) & (first[i] != ids[i])]
-            if len(r):
-                alike = (sig[r] == sig[i]).mean(axis=1)
-                r = r[alike >= least]
-                a += [ids[i]] * len(r)
-                c += ids[r].tolist()
-        lo_, hi_ = np.minimum(a, c), np.maximum(a, c)
-        return pa.table({"a": pa.array(hi_, pa.int64()), "c": pa.array(lo_, pa.int64())})
+            r = right[(right > i) | (kind == "main") | (lo != hi)]
+            r = r[(comp[r] != comp[i]) & (100 * np.minimum(size[r], size[i]) >= percent * np.maximum(size[r], size[i]))]
+            r = r[(sig[r] == sig[i]).mean(axis=1) >= least] if len(r) else r
+            if not len(r):
+                continue
+            own = el[eo[i] : eo[i + 1]]
+            first, n = np.searchsorted(posted, own, "left"), np.searchsorted(posted, own, "right")
+            n -= first
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            both = np.bincount(owner[at], minlength=len(ids))[r]
+            for j in r[100 * both >= percent * (size[i] + size[r] - both)].tolist():
+                x, y = find(int(comp[i])), find(int(comp[j]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    a.append(int(ids[i]))
+                    c.append(int(ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "c": pa.array(c, pa.int64())})
 
     return run
 
@@ -225,12 +251,13 @@ def near_groups(
     )
     scratch.release()
     members = reps.select("id", "n", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("_top"), F.count(F.lit(1)).alias("size"))
+    buckets = members.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("_top"))
     buckets = scratch.save(buckets.where("center != _top").drop("_top"), "buckets")
-    shared = scratch.save(members.join(buckets, "key"), "shared")
+    # a bucket's members are all in the group of its center; most buckets of a member have the same one
+    shared = scratch.save(members.join(buckets, "key").select("center", "id", "n").distinct(), "shared")
     scratch.release()
     sizes = reps.groupBy("id").agg(F.max("n").alias("center_n")).withColumnRenamed("id", "center")
-    first = shared.where("id != center").select("id", "n", "center").distinct().join(sizes, "center")
+    first = shared.where("id != center").join(sizes, "center")
     first = first.where(100 * F.least("n", "center_n") >= percent * F.greatest("n", "center_n"))
     first = scratch.save(first.select(F.col("id").alias("a"), F.col("center").alias("c")), "first")
     wanted = shared.select("id").distinct()
@@ -249,24 +276,34 @@ def near_groups(
     links = copies.unionByName(confirmed(first, "links0"))
     comps = components(links, scratch)
     comps = scratch.save(comps, "components0")
-    placed = (
-        shared.join(comps, shared["id"] == comps["node"], "left")
-        .select("key", "id", "n", "center", "size", F.coalesce("component", "id").alias("comp"))
+    placed = shared.join(comps, shared["id"] == comps["node"], "left").select(
+        "center", "id", F.coalesce("component", "id").alias("comp")
     )
     placed = scratch.save(placed, "placed")
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
-    open_ = scratch.save(open_.where("_lo != _hi").select("key"), "open")
-    rest = placed.join(open_, "key").where("size > 2")
-    rest = rest.join(reps.select("id", "sig").dropDuplicates(["id"]), "id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = rest.withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.withColumns({"lo": F.least("blk", "other"), "hi": F.greatest("blk", "other")})
-    rest = rest.select("key", "lo", "hi", "id", "n", "comp", "center", "blk", "sig")
-    second = rest.groupBy("key", "lo", "hi").applyInArrow(_compare(percent), "a long, c long").distinct()
+    home = placed.where("center = id").select("center", F.col("comp").alias("home"))
+    placed = placed.join(home, "center").select("center", "id", "comp", (F.col("comp") == F.col("home")).alias("main"))
+    open_ = placed.groupBy("center").agg(
+        F.ceil(F.count_if("main") / BLOCK).cast("int").alias("mains"),
+        F.ceil(F.count_if(~F.col("main")) / BLOCK).cast("int").alias("rests"),
+    )
+    open_ = scratch.save(open_.where("rests > 0"), "open")
+    rest = placed.join(open_, "center")
+    rest = rest.withColumn("blk", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+
+    def turn(kind: str, lo, hi):
+        return F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"))
+
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    with_rest = F.transform(upto("rests"), lambda i: turn("main", i, F.col("blk")))
+    among = F.transform(upto("rests"), lambda i: turn("rest", F.least(i, "blk"), F.greatest(i, "blk")))
+    with_main = F.when(F.col("mains") > 0, F.transform(upto("mains"), lambda i: turn("main", F.col("blk"), i)))
+    turns = F.when(F.col("main"), with_rest).otherwise(F.concat(F.coalesce(with_main, F.filter(among, lambda _: F.lit(False))), among))
+    rest = rest.join(reps.select("id", "sig").dropDuplicates(["id"]), "id").join(texts, "id")
+    rest = rest.select("center", "id", "comp", "main", "blk", "sig", "text", F.inline(turns))
+    second = rest.groupBy("center", "kind", "lo", "hi").applyInArrow(_link(n_words, percent), "a long, c long")
     second = scratch.save(second, "second")
     if not second.isEmpty():
-        links = links.unionByName(confirmed(second, "links1"))
+        links = links.unionByName(second)
         comps = scratch.save(components(links, scratch), "components1")
     comps = comps.select(F.col("node").alias("id"), "component")
     scratch.release()
