@@ -45,6 +45,12 @@ def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"), n_words=2, percent=80)
 
 
+def op6_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity_segments": op3_toxicity_segments,
     "op4_pigeonhole_decontamination": op4_pigeonhole_decontamination,
     "op5_superminhash": op5_superminhash,
+    "op6_block_anchors": op6_block_anchors,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
