@@ -33,45 +33,77 @@ CAPACITY = 2048
 GROUP = 4096
 GROWTH = 4
 ROUNDS = 4
-CACHE = 400_000
-KEEP = 100_000
+CACHE = 800_000
+
+
+def latin1(text: str) -> bool:
+    """Whether all characters are below U+0100: such texts are in composed form and lowered letter by letter."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class Words(dict):
+    """Word to ids, learnt on first sight; beyond ``CACHE`` entries new words are encoded each time.
+
+    The tokenizer parts runs of letters from punctuation, so a word of Latin-1
+    letters and one last comma or full stop has the ids of both.
+    """
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__({"": b""})
+        self.tokenizer = tokenizer
+
+    def __missing__(self, word: str) -> bytes:
+        body = word[:-1]
+        if word[-1] in ",." and body.isalpha() and latin1(body):
+            ids = self[body] + self[word[-1]]
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) < CACHE:
+            self[word] = ids
+        return ids
 
 
 class Encoder:
-    """Token ids of a text as little-endian unsigned 32-bit integers, words cached.
+    """Token ids of a text as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and never joins over it, so a text's ids
-    are the ids of the parts between its spaces and line feeds.
+    are the ids of the parts between its spaces and line feeds. It lowers all
+    letters, so lowering plain texts first changes nothing but saves entries;
+    texts that may hold the strings of special tokens are left as they are.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*parts) - self.cache.keys()
-        if len(self.cache) + len(new) > CACHE:
-            # the words that came first are mostly the frequent ones
-            for w in list(self.cache)[KEEP:]:
-                del self.cache[w]
-            new = set().union(*parts) - self.cache.keys()
-        new = list(new)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        for p in parts:
-            yield b"".join(map(get, p))
+        self.words = Words(Tokenizer.from_file(path))
+
+    def encode(self, text: str | None) -> bytes:
+        text = (text or "").replace("\n", " ")
+        if "<|" not in text and latin1(text):
+            text = text.lower()
+        return b"".join(map(self.words.__getitem__, text.split(" ")))
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for each Python worker: its cache outlives the task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _pieces(tokenizer: str, capacity: int):
     names = ["rid", "id", "piece", "start", "length", "crc"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         for b in batches:
             size = pa.compute.fill_null(pa.compute.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False)
             ends = np.cumsum(size.astype(np.int64))
@@ -79,8 +111,8 @@ def _pieces(tokenizer: str, capacity: int):
             while i < n:
                 j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 20), "right")))
                 at, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(enc.encode(b.column(2).slice(i, j - i).to_pylist())):
-                    ids += b"\0\0\0\0"
+                for k, text in enumerate(b.column(2).slice(i, j - i).to_pylist()):
+                    ids = enc.encode(text) + b"\0\0\0\0"
                     step = 4 * capacity
                     for p, s in enumerate(range(0, len(ids), step)):
                         part = ids[s : s + step]
