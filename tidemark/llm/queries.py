@@ -20,6 +20,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_rows
+
+    return shard_rows(_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity as T
 
@@ -72,6 +78,7 @@ FROM d
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_sampled_splitters": op2_sampled_splitters,
     "op3_toxicity_segments": op3_toxicity_segments,
     "op4_pigeonhole_decontamination": op4_pigeonhole_decontamination,
     "op5_superminhash": op5_superminhash,
