@@ -31,7 +31,7 @@ U = np.uint64
 WINDOW = 20
 SLICES = 64  # at least
 BUCKET_ROWS = 400
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 2 << 20
 BATCH_ROWS = 16_000  # documents' places in a batch take 14 bits
 
 
