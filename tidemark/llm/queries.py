@@ -71,6 +71,13 @@ def op9_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op10_scored_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text as H
+
+    pages = _table(spark, sf_dir, "pages")
+    return H.main_text(pages, H.learn(pages))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = f"""
@@ -100,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op6_block_anchors": op6_block_anchors,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_warc_normaliser": op9_warc_normaliser,
+    "op10_scored_regions": op10_scored_regions,
 }
 
 SQL: dict[str, str] = {
