@@ -57,6 +57,12 @@ def op6_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -105,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op4_pigeonhole_decontamination": op4_pigeonhole_decontamination,
     "op5_superminhash": op5_superminhash,
     "op6_block_anchors": op6_block_anchors,
+    "op7_bootstrapped_pii": op7_bootstrapped_pii,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_warc_normaliser": op9_warc_normaliser,
     "op10_scored_regions": op10_scored_regions,
