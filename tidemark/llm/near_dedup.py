@@ -261,14 +261,15 @@ def near_groups(
     first = first.where(100 * F.least("n", "center_n") >= percent * F.greatest("n", "center_n"))
     first = scratch.save(first.select(F.col("id").alias("a"), F.col("center").alias("c")), "first")
     wanted = shared.select("id").distinct()
-    texts = pairs_of.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    # merge joins wherever texts are joined: one plan at every size, and skewed sides can be split
+    texts = pairs_of.join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
     texts = scratch.save(texts, "texts")
     scratch.release()
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         x = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
         y = texts.select(F.col("id").alias("c"), F.col("text").alias("tc"))
-        both = pairs.join(x, "a").join(y, "c").select("a", "c", "ta", "tc")
+        both = pairs.hint("merge").join(x, "a").hint("merge").join(y, "c").select("a", "c", "ta", "tc")
         out = scratch.save(both.mapInArrow(_confirm(n_words, percent), "a long, c long"), name)
         scratch.release()
         return out
@@ -298,7 +299,7 @@ def near_groups(
     among = F.transform(upto("rests"), lambda i: turn("rest", F.least(i, "blk"), F.greatest(i, "blk")))
     with_main = F.when(F.col("mains") > 0, F.transform(upto("mains"), lambda i: turn("main", F.col("blk"), i)))
     turns = F.when(F.col("main"), with_rest).otherwise(F.concat(F.coalesce(with_main, F.filter(among, lambda _: F.lit(False))), among))
-    rest = rest.join(reps.select("id", "sig").dropDuplicates(["id"]), "id").join(texts, "id")
+    rest = rest.hint("merge").join(reps.select("id", "sig").dropDuplicates(["id"]), "id").hint("merge").join(texts, "id")
     rest = rest.select("center", "id", "comp", "main", "blk", "sig", "text", F.inline(turns))
     second = rest.groupBy("center", "kind", "lo", "hi").applyInArrow(_link(n_words, percent), "a long, c long")
     second = scratch.save(second, "second")
