@@ -54,19 +54,20 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return VERSION + b"\r\n" + head + b"\r\n" + block + b"\r\n\r\n"
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id: int | None, digest: str = "") -> str:
+    name = f"page:{page_id}" if page_id is not None else f"payload:{digest}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
-def page_record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """The response or revisit record of a page; ``refers_to`` is the page that has the payload."""
     headers = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", record_id(page_id)),
+        ("WARC-Record-ID", record_id(page_id, digest)),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Target-URI", url or ""),
         ("WARC-Payload-Digest", "sha256:" + digest),
-        ("Page-ID", str(page_id)),
+        ("Page-ID", "" if page_id is None else str(page_id)),
         ("Payload-Length", str(len(payload))),
         ("Content-Type", "text/html; charset=utf-8"),
     ]
@@ -269,7 +270,8 @@ def _read(root: str):
                         got = hashlib.sha256(block).hexdigest()
                         if got != digest or len(block) != size:
                             raise ValueError(f"{path}: the payload of page {headers['page-id']} is damaged")
-                    row = (int(headers["page-id"]), size, digest, kind, int(first) if first else None)
+                    page = headers["page-id"]
+                    row = (int(page) if page else None, size, digest, kind, int(first) if first else None)
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
                     if len(out[0]) >= 10_000:
@@ -295,21 +297,22 @@ def round_trip(
     equal payloads of ``least_bytes`` or more, the smallest id's is a response,
     the others revisit it; of repeated rows with that id all are responses. A
     null html is an empty payload, a null url an empty header. Rows without an
-    id cannot be archived and raise an error. Extra columns are ignored; an
-    empty table writes no archive and gives no rows.
+    id come back without one and revisit the page that has their payload, if any
+    has an id. Extra columns are ignored; an empty table writes no archive and
+    gives no rows.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
     rows = pages.select(
-        F.coalesce(F.col(id_col).cast("long"), F.raise_error(F.lit("a page has no id")).cast("long")).alias("page_id"),
+        F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"),
     ).withColumn("sha", F.sha2("html", 256))
     same = rows.where(F.octet_length("html") >= least_bytes).select("page_id", "sha")
-    same = same.groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-    same = scratch.save(same.where("first != last").select("sha", "first"), "same")
+    same = same.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    same = scratch.save(same.where("n > 1 and first is not null").select("sha", "first"), "same")
     typed = rows.join(same, "sha", "left").select(
-        "page_id", "url", "html", "sha", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("first")
+        "page_id", "url", "html", "sha", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("first")
     )
     name = folder or "archives"
     written = scratch.save(typed.mapInArrow(_archive(scratch.root, name), "path string, records long"), "written")
