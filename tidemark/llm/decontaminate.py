@@ -147,16 +147,17 @@ def _hits(items: list[tuple[int, str]], rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(items, rate)
         for b in batches:
-            rid, item, edits = [], [], []
-            for r, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            row, item, edits = [], [], []
+            for r, t in enumerate(b.column(2)):
                 for i, e in matcher.match(normalise(t.as_py())).items():
-                    rid.append(r)
+                    row.append(r)
                     item.append(i)
                     edits.append(e)
-            if rid:
+            if row:
+                at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid, pa.int64()), pa.array(item, pa.int64()), pa.array(edits, pa.int64())],
-                    ["rid", "item", "edits"],
+                    [b.column(0).take(at), b.column(1).take(at), pa.array(item, pa.int64()), pa.array(edits, pa.int64())],
+                    ["id", "hash", "item", "edits"],
                 )
 
     return run
@@ -177,19 +178,21 @@ def contamination(
     Repeated rows each get their row. Extra columns of any name are ignored.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")
-    )
+    text = F.col(text_col).cast("string")
+    # a row is known by its id and text: a row number would not be the same in every pass
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
     found = None
     for block in item_blocks(items, item_id, item_text):
-        hits = rows.select("rid", "text").mapInArrow(_hits(block, rate), "rid long, item long, edits long")
+        hits = rows.mapInArrow(_hits(block, rate), f"id {kind}, hash long, item long, edits long")
         hits = scratch.save(hits, "hits")
         found = hits if found is None else found.unionByName(hits)
     # a document's list is no longer than the benchmark
-    per = found.groupBy("rid").agg(
+    per = found.groupBy(F.col("id").alias("id2"), F.col("hash").alias("hash2")).agg(
         F.sort_array(F.collect_set("item")).alias("item_ids"), F.min("edits").alias("least_edits")
     )
-    return rows.select("rid", "id").join(per, "rid", "left").select(
+    same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("hash") == F.col("hash2"))
+    return rows.select("id", "hash").join(per, same, "left").select(
         F.col("id").alias(id_col),
         F.col("item_ids").isNotNull().alias("contaminated"),
         F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
