@@ -103,6 +103,16 @@ def _lower(data: np.ndarray) -> np.ndarray:
     return W.LOWER[data]
 
 
+def _sets(col: pa.Array, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets) of the shingles of a column's texts, worked out chunk by chunk to bound memory."""
+    parts, sizes = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for _, _, data, off in W.chunks(col):
+        el, eo = W.shingles(_lower(data), off, n_words)
+        parts.append(el)
+        sizes.append(np.diff(eo))
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
 def _signed(n_words: int):
     schema = pa.schema(
         [("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))]
@@ -143,10 +153,6 @@ def _signed(n_words: int):
 def _confirm(n_words: int, percent: int):
     """(a, c, text_a, text_c) -> (a, c) of pairs that reach the similarity on whole sets."""
 
-    def sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        data, off = W.buffers(col)
-        return W.shingles(_lower(data), off, n_words)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size = np.diff(W.buffers(b.column(2))[1]) + np.diff(W.buffers(b.column(3))[1])
@@ -155,7 +161,7 @@ def _confirm(n_words: int, percent: int):
             while i < n:
                 j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + W.CHUNK_BYTES, "right")))
                 part = b.slice(i, j - i)
-                (x, xo), (y, yo) = sets(part.column(2)), sets(part.column(3))
+                (x, xo), (y, yo) = _sets(part.column(2), n_words), _sets(part.column(3), n_words)
                 pair = np.concatenate([np.repeat(np.arange(j - i), np.diff(xo)), np.repeat(np.arange(j - i), np.diff(yo))])
                 both = np.concatenate([x, y])
                 order = np.lexsort((both, pair))
@@ -181,8 +187,7 @@ def _link(n_words: int, percent: int):
         main = np.array(table.column("main").to_pylist(), bool)
         kind, lo, hi = (table.column(c)[0].as_py() for c in ("kind", "lo", "hi"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), M)
-        data, off = W.buffers(table.column("text"))
-        el, eo = W.shingles(_lower(data), off, n_words)
+        el, eo = _sets(table.column("text"), n_words)
         size = np.diff(eo)
         if kind == "main":
             left, right = np.flatnonzero(~main), np.flatnonzero(main)
