@@ -33,8 +33,8 @@ MAX_LABELS = 200_000
 MAX_TERMS = 200_000
 PREFIXES = (6, 5, 4)
 WORD = re.compile(r"[^\W\d_]+")
-FLUSH = 200_000
-CACHE = 300_000
+FLUSH = 100_000
+CACHE = 150_000
 PRIOR = 10.0
 SUPPORT = 0.004  # least share of toxic texts that must hold a feature
 
@@ -123,8 +123,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     c = [Counter(), Counter()]
     for b in batches:
-        for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            words = set(WORD.findall((text or "").lower()))
+        for label, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            words = set(WORD.findall((text.as_py() or "").lower()))
             c[label].update({f for w in words for f in features(w)})
             c[label][""] += 1
             if len(c[0]) + len(c[1]) > FLUSH:
@@ -140,11 +140,12 @@ def _measured(model: Model):
         cache: dict[str, float] = {}
         for b in batches:
             n, s, w = [], [], []
-            for t in b.column(1).to_pylist():
-                words, seg = model.segments(t or "", cache)
+            for x in b.column(1):
+                t = x.as_py() or ""
+                words, seg = model.segments(t, cache)
                 n.append(words)
                 s.append(max((x for x, _, _ in seg), default=0.0))
-                w.append(max((cache.get(m[0], 0.0) for m in WORD.finditer((t or "").lower())), default=0.0) if seg else 0.0)
+                w.append(max((cache.get(m[0], 0.0) for m in WORD.finditer(t.lower())), default=0.0) if seg else 0.0)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(s, pa.float64()), pa.array(w, pa.float64())],
                 ["label", "n", "s", "w"],
@@ -212,12 +213,19 @@ def train(
     delta -= F.log((F.col("n0") + alpha) / (F.lit(t0 + PRIOR) - F.col("n0")))
     spread = F.sqrt(1 / (F.col("n1") + alpha) + 1 / (F.col("n0") + alpha))
     scored = counts.where("f <> ''").select("f", "n0", "n1", (delta - 1.64 * spread).alias("low"), (delta / spread).alias("z"))
-    for_, against = (F.col("n1") >= max(3, SUPPORT * t1)) & (F.col("z") > 3) & (F.col("low") > 1), (F.col("n0") >= 3) & (F.col("low") <= 0)
-    best = scored.where(for_ | against).orderBy(F.desc(for_), F.desc(F.col("n0") + F.col("n1")), "f")
+    sign = (F.col("n1") >= max(3, SUPPORT * t1)) & (F.col("z") > 3) & (F.col("low") > 1)
+    best = scored.where(sign).orderBy(F.desc("z"), "f").limit(max_terms).collect()
     drift = 0.5
-    weight = {r.f: min(8.0, float(r.low)) if r.low > 1 else -drift for r in best.limit(max_terms).collect()}
-    # a clean prefix says nothing of its longer words, so only toxic prefixes stay
-    weight = {f: w for f, w in weight.items() if w > 0 or not f.endswith("*")}
+    weight = {r.f: min(8.0, float(r.low)) for r in best}
+    # frequent clean words under a toxic prefix are excepted from it; other clean features say nothing
+    stems = sorted(f[:-1] for f in weight if f.endswith("*"))
+    under = F.lit(False)
+    for k in PREFIXES:
+        if own_k := [x for x in stems if len(x) == k]:
+            under = under | F.substring("f", 1, k).isin(own_k)
+    clean = scored.where(~F.col("f").endswith("*") & (F.col("n0") >= 3) & (F.col("low") <= 0) & under)
+    clean = clean.orderBy(F.desc(F.col("n0") + F.col("n1")), "f").limit(max_terms).collect()
+    weight |= {r.f: -drift for r in clean if r.f not in weight}
 
     def measured(model: Model, name: str) -> DataFrame:
         return scratch.save(known.mapInArrow(_measured(model), "label int, n long, s double, w double"), name)
@@ -240,7 +248,7 @@ def _score(model: Model):
         cache: dict[str, float] = {}
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([model.score(t or "", cache) for t in b.column(1).to_pylist()], pa.float64())],
+                [b.column(0), pa.array([model.score(t.as_py() or "", cache) for t in b.column(1)], pa.float64())],
                 ["id", "score"],
             )
 
