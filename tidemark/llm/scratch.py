@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,7 +71,8 @@ class Scratch:
         The files go once the driver's garbage is collected; a long operator
         asks for that between its passes so that they do not add up on disk.
         """
-        import gc
-
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        # one collection drops the plans, the next the shuffles that they held
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
