@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+SAMPLES = 20  # rows of the sample for each bucket
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     """Adds 1, 2, 3 ... in the given order without bringing all rows to one task.
 
@@ -14,16 +17,12 @@ def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     each, and moved by the count of the buckets before; a bucket count is one
     row. Rows that the order does not tell apart get numbers in any order.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = df.select(F.xxhash64(order[0]).alias("h")) if df.schema[order[0]].dataType.simpleString() not in _NUMERIC else None
-    if first is None:
-        cuts = df.stat.approxQuantile(order[0], [i / parts for i in range(1, parts)], 0.01)
-        bucket = sum((F.when(F.col(order[0]) > F.lit(c), 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
-    else:
-        # text has no quantiles here: its first two characters spread it, in order
-        bucket = F.coalesce(F.ascii(F.substring(F.col(order[0]).cast("string"), 1, 1)), F.lit(0)) * 256 + F.coalesce(
-            F.least(F.ascii(F.substring(F.col(order[0]).cast("string"), 2, 1)), F.lit(255)), F.lit(0)
-        )
+    parts = min(512, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    first = F.col(order[0])
+    sample = [r[0] for r in df.select(first).where(first.isNotNull()).orderBy(F.xxhash64(first)).limit(parts * SAMPLES).collect()]
+    cuts = sorted({sorted(sample)[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
+    lits = F.array(*[F.lit(c) for c in cuts]).cast(f"array<{df.schema[order[0]].dataType.simpleString()}>")
+    bucket = F.coalesce(F.size(F.filter(lits, lambda c: c < first)), F.lit(0)) if cuts else F.lit(0)
     dealt = df.withColumn("_bucket", bucket)
     sizes = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -32,9 +31,6 @@ def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     return out.select(*df.columns, (F.col("_before") + F.col("_own")).alias(name))
 
 
-_NUMERIC = ("int", "bigint", "double", "float", "smallint", "tinyint")
-
-
 def allocate_max(table: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
     """New rows with keys after the table's largest, 1 where it is empty."""
     top = table.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("_top"))
