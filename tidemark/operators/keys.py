@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,12 +17,19 @@ def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     each, and moved by the count of the buckets before; a bucket count is one
     row. Rows that the order does not tell apart get numbers in any order.
     """
-    parts = min(512, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     first = F.col(order[0])
     sample = [r[0] for r in df.select(first).where(first.isNotNull()).orderBy(F.xxhash64(first)).limit(parts * SAMPLES).collect()]
     cuts = sorted({sorted(sample)[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
-    lits = F.array(*[F.lit(c) for c in cuts]).cast(f"array<{df.schema[order[0]].dataType.simpleString()}>")
-    bucket = F.coalesce(F.size(F.filter(lits, lambda c: c < first)), F.lit(0)) if cuts else F.lit(0)
+
+    def below(a: int, b: int) -> Column:
+        """How many cuts lie under the value, given that it is a to b of them."""
+        if a == b:
+            return F.lit(a)
+        mid = (a + b) // 2
+        return F.when(first <= F.lit(cuts[mid]), below(a, mid)).otherwise(below(mid + 1, b))
+
+    bucket = F.when(first.isNull(), F.lit(0)).otherwise(below(0, len(cuts)))
     dealt = df.withColumn("_bucket", bucket)
     sizes = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
