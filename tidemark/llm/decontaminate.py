@@ -192,13 +192,14 @@ def contamination(
         F.sort_array(F.collect_set("item")).alias("item_ids"), F.min("edits").alias("least_edits")
     )
     same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("hash") == F.col("hash2"))
-    return rows.select("id", "hash").join(per, same, "left").select(
+    out = rows.select("id", "hash").join(per, same, "left").select(
         F.col("id").alias(id_col),
         F.col("item_ids").isNotNull().alias("contaminated"),
         F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
         "least_edits",
     )
+    return scratch.finish(out)
 
 
 def drop_contaminated(

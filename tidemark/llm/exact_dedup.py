@@ -151,13 +151,14 @@ def exact_groups(
     )
     groups = scratch.save(groups.where("group_size > 1"), "groups")
     top = F.col("_top")
-    return identity.join(groups, ["level", "name"], "left").select(
+    out = identity.join(groups, ["level", "name"], "left").select(
         F.col("id").alias(id_col),
         F.coalesce("keep_id", "id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.when(top.isNull(), F.lit(True)).otherwise(-top["col2"] == F.col("rid")).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
+    return scratch.finish(out)
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,5 +172,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         ~F.col("kept") & F.col(id_col).isNotNull() & (F.col(id_col) != F.col("keep_id"))
     )
     gone = scratch.save(gone.select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    return left
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

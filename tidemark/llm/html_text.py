@@ -173,6 +173,7 @@ def learn(pages: DataFrame, html_col: str = "html", most: int = LABELLED) -> dic
         F.sum("inside").alias("inside"), F.sum("outside").alias("outside")
     )
     rows = scratch.save(counts, "counts").orderBy(F.desc(F.col("inside") + F.col("outside")), "feature").limit(FEATURES).collect()
+    scratch.clear()
     weights = dict(PRIOR)
     for r in rows:
         odds = math.log((r.inside + 1) / (r.outside + 1))

@@ -312,8 +312,7 @@ def near_groups(
         links = links.unionByName(second)
         comps = scratch.save(components(links, scratch), "components1")
     comps = comps.select(F.col("node").alias("id"), "component")
-    scratch.release()
-    return (
+    out = (
         signed.select("id", "n")
         .join(comps, "id", "left")
         .select(
@@ -323,6 +322,9 @@ def near_groups(
             F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"),
         )
     )
+    out = scratch.finish(out)
+    scratch.release()
+    return out
 
 
 def drop_near_copies(

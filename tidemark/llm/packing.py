@@ -273,7 +273,7 @@ def pack(
         {"seq": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}
     )
     out = whole if placed is None else pieces.where(F.col("length") < capacity).join(placed, ["rid", "piece"]).unionByName(whole)
-    return out.select(
+    out = out.select(
         F.col("id").alias(id_col),
         "piece",
         "start",
@@ -282,3 +282,4 @@ def pack(
         F.col("seq").alias("sequence_id"),
         "offset",
     )
+    return scratch.finish(out)

@@ -229,9 +229,10 @@ def find_pii(
     more = scratch.save(more, "more")
     count = lambda k: F.size(F.filter("base", lambda b: b["kind"] == k)).cast("long")
     every = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
-    return found.select("rid", "id", "base").join(more, "rid", "left").select(
+    out = found.select("rid", "id", "base").join(more, "rid", "left").select(
         F.col("id").alias(id_col),
         *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
         F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
         _listed(every).alias("spans"),
     )
+    return scratch.finish(out)

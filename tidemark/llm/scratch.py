@@ -47,6 +47,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
         self._n = 0
+        self._saved: list[str] = []
         ship(spark)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -55,15 +56,31 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self._saved.append(path)
         return out
 
+    def _delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        self._saved.remove(path)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            p.getFileSystem(conf).delete(p, True)
+            self._delete(t._scratch_path)
+
+    def finish(self, result: DataFrame) -> DataFrame:
+        """The result as a table of its own; all tables that led to it are deleted."""
+        before = list(self._saved)
+        out = self.save(result, "result")
+        for path in before:
+            self._delete(path)
+        return out
+
+    def clear(self) -> None:
+        """Delete all tables, once what was wanted from them is known."""
+        for path in list(self._saved):
+            self._delete(path)
 
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of finished jobs.

@@ -150,7 +150,7 @@ def shard_rows(
         first.append((r.shard, r.group, r.range, seen[r.shard] - r.low))
         seen[r.shard] += r.rows
     base = spark.createDataFrame(first, "shard int, group int, range int, base long")
-    return dealt.join(F.broadcast(base), ["shard", "group", "range"]).select(
+    out = dealt.join(F.broadcast(base), ["shard", "group", "range"]).select(
         F.col("id").alias(id_col),
         "size",
         "text_crc32",
@@ -159,3 +159,4 @@ def shard_rows(
         (F.col("base") + F.col("n")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+    return scratch.finish(out)

@@ -337,7 +337,7 @@ def remove_repeats(
     out = known.groupBy("bucket").cogroup(flags.groupBy("bucket")).applyInArrow(_cut(window, texts), RESULT)
     loose = rows.where("id is null").mapInArrow(_uncut(window, texts), RESULT)
     out = out.unionByName(loose).withColumnRenamed("id", id_col)
-    return out if texts else out.drop("kept_text")
+    return scratch.finish(out if texts else out.drop("kept_text"))
 
 
 def _uncut(window: int, texts: bool):

@@ -240,6 +240,7 @@ def train(
     lam = min(4.0, math.pi / (math.sqrt(6) * max(m[1] or 0.0, 0.3)))
     log_k = max(-30.0, min(30.0, lam * (m[0] or 0.0) - 0.5772 - (m[2] or 0.0)))
     cut = _cut(seen, F.lit(lam) * F.col("s") - log_n - F.lit(log_k), 0.25)
+    scratch.clear()
     return Model(weight, drift, lam, math.exp(log_k), 0.5, cut, t1 / (t0 + t1))
 
 
