@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .expr import All, Nothing
+from .functions import documents
 from .model import TPCS, TPH, Attribute, Entity, Inheritance, Model, Relationship, SortKey, ValueObject
 from .operators.cascade import cascade_delete
 from .operators.fetch import exploded
@@ -21,7 +22,9 @@ from .operators.writes import Writer, changed_only, chained
 from .plans.compile import Compiler
 from .plans.unitofwork import DELETE, INSERT, UPDATE, UnitOfWork
 from .query import Aggregate, AggregateQuery, Having, Include, Query
+from .sources import generators
 from .sources.catalog import Catalog
+from .streaming.fold import refold
 
 A, R = Attribute, Relationship
 D = dt.datetime
@@ -626,6 +629,65 @@ def _pk_max(s: SparkSession, sf: str) -> DataFrame:
 _add("pk_sequence", lambda s, sf: Sequence(50, 2, 100).allocate(base(s, sf).frame("supplier").select("s_suppkey"), "id", ["s_suppkey"]), "SELECT CAST(100 + 2 * (row_number() OVER (ORDER BY s_suppkey) - 1) AS BIGINT) AS id, s_suppkey FROM supplier")
 
 
+# ---- documents, layouts, generators
+
+LAID = Model(
+    Entity("Laid", (_pk("key", "o_orderkey"), A("status", "string"), A("total", "float64"), A("priority", "string", nullable=True)), "laid", document="payload"),
+    Entity("Native", (_pk("key", "c_custkey"),), "native", value_objects=(ValueObject("orders", (A("status", "string"), A("total", "float64")), "many"),)),
+)
+L = LAID.ref
+
+
+def _laid(s: SparkSession, sf: str) -> Compiler:
+    c = base(s, sf)
+
+    def laid() -> DataFrame:
+        doc = F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"), F.nullif("o_orderpriority", F.lit("4-NOT SPECIFIED")).alias("priority"), F.lit("kept").alias("other"))
+        return c.frame("orders").select("o_orderkey", F.to_json(doc).alias("payload"))
+
+    def native() -> DataFrame:
+        item = F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"))
+        per = c.frame("orders").groupBy("o_custkey").agg(F.collect_list(item).alias("orders"))
+        customer = c.frame("customer")
+        return customer.join(per, customer["c_custkey"] == per["o_custkey"], "left").select("c_custkey", "orders")
+
+    return Compiler(LAID, c.with_table("laid", laid).with_table("native", native))
+
+
+_add("layout_filter", lambda s, sf: _laid(s, sf).rows(L.Laid.where((L.Laid.total > 300000.0) & (L.Laid.status != "F"))).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_totalprice > 300000 AND o_orderstatus <> 'F'")
+_add("layout_order", lambda s, sf: _laid(s, sf).rows(L.Laid.where(L.Laid.priority.is_not_null()).order_by(L.Laid.total.desc(), L.Laid.key.asc()).limit(30)).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED' ORDER BY o_totalprice DESC, o_orderkey LIMIT 30")
+_add("layout_aggregate", lambda s, sf: _laid(s, sf).aggregate(AggregateQuery(L.Laid.where(), (Aggregate("count", "n"), Aggregate("max", "top", "total")), ("status",))), "SELECT o_orderstatus AS status, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1")
+_add("vo_native", lambda s, sf: _laid(s, sf).rows(L.Native.where(L.Native.orders.exists(lambda e: (e.status == "P") & (e.total > 200000.0))), documents=False), "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 200000)")
+
+
+def _patched(s: SparkSession, sf: str) -> DataFrame:
+    """Documents after some members were assigned; members that no model knows stay."""
+    doc = documents.variant(documents.patched(F.col("payload"), {"status": "X", "total": 1.5}))
+    rows = _laid(s, sf).catalog.frame("laid")
+    return rows.select("o_orderkey", *[documents.leaf(doc, (n,), t).alias(n) for n, t in (("status", "string"), ("total", "float64"), ("priority", "string"), ("other", "string"))])
+
+
+_add("document_patch", _patched, "SELECT o_orderkey, 'X' AS status, 1.5::DOUBLE AS total, nullif(o_orderpriority, '4-NOT SPECIFIED') AS priority, 'kept' AS other FROM orders")
+_add("document_equality", lambda s, sf: base(s, sf).frame("events").where(documents.same(F.col("props"), F.concat(F.lit('{ "k" : '), (F.col("event_id") % 10).cast("string"), F.lit("}")))).select("event_id"),
+     "SELECT event_id FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) = event_id % 10")
+_add("vo_leaf_typed", lambda s, sf: base(s, sf).frame("events").select("event_id", documents.leaf(documents.variant(F.col("props")), ("k",), "int64").alias("k")), "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+_add("generate_accounts", lambda s, sf: generators.accounts(s, 1000).select("id", "owner", F.col("balance").cast("double").alias("balance"), "version"), "SELECT range AS id, 'owner-' || range AS owner, CAST(range * 100 AS DOUBLE) AS balance, CAST(1 AS INTEGER) AS version FROM range(1, 1001)")
+_add("generate_milestones", lambda s, sf: generators.milestones(s, 50, 4).select("id", F.col("val").cast("double").alias("val"), "in_z", "out_z"),
+     f"SELECT k AS id, CAST(n * 10 AS DOUBLE) AS val, TIMESTAMP '2024-01-01' + n * INTERVAL 1 DAY AS in_z, CASE WHEN n = 3 THEN {_INF} ELSE TIMESTAMP '2024-01-01' + (n + 1) * INTERVAL 1 DAY END AS out_z FROM (SELECT range AS k FROM range(1, 51)), (SELECT range AS n FROM range(4))")
+
+
+def _refolded(s: SparkSession, sf: str) -> DataFrame:
+    """Milestones from two thirds of the events, then the late third folded in."""
+    e = base(s, sf).frame("events").select("user_id", "event_type", "value", "ts")
+    number = base(s, sf).frame("events").select("event_id", F.col("user_id").alias("u"), F.col("ts").alias("t"))
+    e = e.join(number, (F.col("user_id") == F.col("u")) & (F.col("ts") == F.col("t"))).drop("u", "t")
+    early, late = e.where("event_id % 3 <> 0").drop("event_id"), e.where("event_id % 3 = 0").drop("event_id")
+    return refold(chained(early, ["user_id"], "ts"), late, ["user_id"], "ts").select("user_id", "event_type", "value", "in_z", "out_z")
+
+
+_add("stream_refold", _refolded, _ST)
+
+
 def queries() -> dict[str, Built]:
     return dict(_QUERIES)
 
