@@ -40,9 +40,9 @@ def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
 
 def allocate_max(table: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
     """New rows with keys after the table's largest, 1 where it is empty."""
-    top = table.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("_top"))
-    made = numbered(new, order, "_n").crossJoin(F.broadcast(top))
-    return made.select((F.col("_top") + F.col("_n")).cast("long").alias(key), *[c for c in new.columns if c != key])
+    top = table.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+    made = numbered(new, order, "_n")
+    return made.select((F.lit(top) + F.col("_n")).cast("long").alias(key), *[c for c in new.columns if c != key])
 
 
 class Sequence:
