@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kept import forget
 from .scratch import Scratch
 
 RATE = 0.06
@@ -145,6 +146,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, most: int = BLOCK_
 
 def _hits(items: list[tuple[int, str]], rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         matcher = Matcher(items, rate)
         for b in batches:
             row, item, edits = [], [], []
@@ -215,6 +217,7 @@ def drop_contaminated(
 
     def clean(block: list[tuple[int, str]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             matcher = Matcher(block, rate)
             for b in batches:
                 keep = [not matcher.match(normalise(t.as_py())) for t in b.column(at)]

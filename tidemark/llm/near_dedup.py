@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
+from .kept import forget
 from .scratch import Scratch
 
 U = np.uint64
@@ -119,6 +120,7 @@ def _signed(n_words: int):
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             for i, j, data, off in W.chunks(b.column(1)):
                 el, eo = W.shingles(_lower(data), off, n_words)

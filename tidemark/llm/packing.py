@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kept import keep
 from .scratch import Scratch
 
 CAPACITY = 2048
@@ -89,21 +90,12 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, text.split(" ")))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker: its cache outlives the task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def _pieces(tokenizer: str, capacity: int):
     names = ["rid", "id", "piece", "start", "length", "crc"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        # the cache of words outlives the task
+        enc = keep(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
         for b in batches:
             size = pa.compute.fill_null(pa.compute.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False)
             ends = np.cumsum(size.astype(np.int64))

@@ -24,16 +24,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Rows of an Arrow batch where the session leaves Spark's default: rows here are whole documents.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, and bound what they hold.
 
-    Clusters get the package by ``--py-files`` or in their image; this covers
-    workers that share the driver's file system but not its ``sys.path``.
+    Clusters get the package by ``--py-files`` or in their image; the path
+    covers workers that share the driver's file system but not its
+    ``sys.path``. Workers return freed memory to the system instead of keeping
+    it in pools, and get documents in small batches.
     """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    env.setdefault("MALLOC_ARENA_MAX", "2")
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", "131072")
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
 
 
 class Scratch:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .kept import forget
 from .scratch import Scratch
 
 U = np.uint64
@@ -70,6 +71,7 @@ def _probe(window: int, bits: int):
     n, slices = window // 2, 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         turn = 0
         for b, data, off in _batches(batches, 2):
             ids, buckets = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int32)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kept import forget
 from .scratch import Scratch
 
 MAX_LABELS = 200_000
@@ -121,6 +122,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(keys, pa.string()), *[pa.array([x[k] for k in keys], pa.int64()) for x in c]], ["f", "n0", "n1"]
         )
 
+    forget()
     c = [Counter(), Counter()]
     for b in batches:
         for label, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
