@@ -77,3 +77,9 @@ def test_nothing_to_learn(spark):
     weights = H.learn(none)
     assert weights == H.PRIOR
     assert H.main_text(none, weights).count() == 0
+
+
+def test_bounded_sample_of_pages(spark):
+    rows = [(i, page(f"<p>{'word ' * 40} {i}</p>")) for i in range(200)]
+    few = H.learn(spark.createDataFrame(rows, "page_id long, html string"), most=50)
+    assert few["word in p"] > 0 > few["tag nav"]

@@ -100,3 +100,11 @@ def test_nothing_to_learn(spark, nothing, awkward):
         model = T.train(docs, labels)
         assert all(r.score < 0.5 for r in T.score(docs, model).collect())
     assert T.score(nothing, T.Model()).count() == 0
+
+
+def test_bounded_sample_of_labels(spark):
+    docs, labels = corpus(spark)
+    model = T.train(docs, labels, max_labels=200, max_terms=50)
+    assert 0 < len(model.weight) <= 100
+    got = {r.id: r.score >= 0.5 for r in T.score(docs, model).collect()}
+    assert sum(got[i] == (i % 6 == 0) for i in got) >= 0.9 * len(got)
