@@ -290,6 +290,8 @@ def near_groups(
     placed = scratch.save(placed, "placed")
     home = placed.where("center = id").select("center", F.col("comp").alias("home"))
     placed = placed.join(home, "center").select("center", "id", "comp", (F.col("comp") == F.col("home")).alias("main"))
+    # written before it is counted, so that the join's skewed groups can be split
+    placed = scratch.save(placed, "sided")
     open_ = placed.groupBy("center").agg(
         F.ceil(F.count_if("main") / BLOCK).cast("int").alias("mains"),
         F.ceil(F.count_if(~F.col("main")) / BLOCK).cast("int").alias("rests"),
