@@ -70,6 +70,10 @@ class Reads:
         c = self._compiler()
         return Result(c.fetch(q) if q.includes else c.history(q))
 
+    def checked(self, q: Query) -> Result:
+        """Rows with the issues of their stored data, available or not."""
+        return Result(self._compiler().classified(q))
+
     def aggregate(self, q: AggregateQuery) -> Result:
         return Result(self._compiler().aggregate(q))
 

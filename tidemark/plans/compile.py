@@ -212,6 +212,12 @@ class Compiler:
         first = sorted(at.active)[0]
         return aggregated(at.df, q, lambda name: at.attribute(self.model.attribute(first, name)))
 
+    def classified(self, q: Query) -> DataFrame:
+        """Rows with the issues of their stored data."""
+        from ..operators.classify import classified
+
+        return classified(self, q)
+
     def fetch(self, q: Query) -> DataFrame:
         from ..operators.fetch import fetched
 

@@ -20,6 +20,16 @@ class Catalog:
     def parquet(spark: SparkSession, folder: str, names: list[str]) -> Catalog:
         return Catalog({n: (lambda n=n: spark.read.parquet(f"{folder}/{n}.parquet")) for n in names})
 
+    @staticmethod
+    def read(spark: SparkSession, sources: Mapping[str, tuple[str, Mapping[str, str]]]) -> Catalog:
+        """Tables of any Spark source: name to (format, options), e.g. jdbc with url and dbtable."""
+        return Catalog({n: (lambda f=f, o=o: spark.read.format(f).options(**o).load()) for n, (f, o) in sources.items()})
+
+    @staticmethod
+    def tables(spark: SparkSession, names: Mapping[str, str]) -> Catalog:
+        """Tables of the session's own catalog: name here to name there."""
+        return Catalog({n: (lambda t=t: spark.table(t)) for n, t in names.items()})
+
     def frame(self, table: str) -> DataFrame:
         made = self._tables[table]
         if not isinstance(made, DataFrame):
