@@ -44,16 +44,15 @@ def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def name_contents(df: DataFrame, content: list[str], scratch: Scratch, tag: str) -> DataFrame:
+def name_contents(df: DataFrame, content: list[str], scratch: Scratch, tag: str, rows: int) -> DataFrame:
     """Replace the ``content`` columns by ``name``: equal contents, and only they, get equal integers.
 
-    ``df`` is read twice: for the counts and for the names.
+    ``df`` has ``rows`` rows; it is read twice, for the counts and for the names.
     """
     spark = df.sparkSession
     hashed = df.withColumn("_h", F.xxhash64(*content))
     counts = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
     counts = scratch.save(counts.where("_n > 1"), f"{tag}-counts")
-    rows = df.count()
     share = max(1, math.ceil(rows / (4 * _partitions(spark))))
     frequent = counts.where(F.col("_n") > share).select(
         "_h", F.ceil(F.col("_n") / share).cast("int").alias("_salts")
@@ -121,7 +120,9 @@ def exact_groups(
         F.when(F.col("i") == 0, F.col("sha")).alias("sha"),
         F.substr("_text", F.col("i") * block_chars + 1, F.lit(block_chars)).alias("block"),
     )
-    level0 = scratch.save(name_contents(blocks, ["block"], scratch, "block"), "level0")
+    size = F.greatest(F.lit(1), F.ceil(F.length(F.coalesce(F.col(text_col), F.lit(""))) / block_chars))
+    n_blocks = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    level0 = scratch.save(name_contents(blocks, ["block"], scratch, "block", n_blocks), "level0")
     rows = level0.where("i = 0").select("rid", "id", "sha")
     done = [level0.where("n = 1").select("rid", F.lit(0).alias("level"), "name")]
     rest, level = level0.where("n > 1").select("rid", "i", "n", "name"), 0
@@ -135,7 +136,8 @@ def exact_groups(
             F.coalesce(F.max(F.when(F.col("i") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"),
         )
         pairs = scratch.save(pairs, f"pairs{level}")
-        named = scratch.save(name_contents(pairs, ["left", "right"], scratch, f"pair{level}"), f"level{level}")
+        names = name_contents(pairs, ["left", "right"], scratch, f"pair{level}", pairs.count())
+        named = scratch.save(names, f"level{level}")
         done.append(named.where("n = 1").select("rid", F.lit(level).alias("level"), "name"))
         rest = named.where("n > 1")
     identity = done[0]
