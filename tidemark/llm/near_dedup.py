@@ -239,7 +239,8 @@ def near_groups(
     whole sequence as one shingle; an empty or null text has none and is linked
     with nothing. Texts are linked where 100 * shared >= percent * joint
     shingles; component_id is the smallest id reachable over links. Rows that
-    repeat an id are one node of the graph and all returned; rows without an id
+    repeat an id are one node of the graph and all returned (if their texts
+    differ, one of them speaks for the id when links are confirmed); rows without an id
     keep their n_shingles, have no component and are kept. Extra columns of
     any name are ignored; an empty table gives an empty result.
     """
