@@ -83,3 +83,21 @@ def test_bounded_sample_of_pages(spark):
     rows = [(i, page(f"<p>{'word ' * 40} {i}</p>")) for i in range(200)]
     few = H.learn(spark.createDataFrame(rows, "page_id long, html string"), most=50)
     assert few["word in p"] > 0 > few["tag nav"]
+
+
+def test_region_is_not_shrunk_to_one_article(weights):
+    one, two = "first " * 80, "second " * 50
+    html = f"<html><body><nav>menu</nav><article><h2>A</h2><p>{one}</p></article><article><h2>B</h2><p>{two}</p></article></body></html>"
+    assert H.extract(html, weights) == f"A\n\n{one.strip()}\n\nB\n\n{two.strip()}"
+
+
+def test_teaser_does_not_replace_the_region(weights):
+    text = "long " * 200
+    html = f"<html><body><div><p>{text}</p><article><p>see this too</p></article><p>{text}</p></div></body></html>"
+    assert H.extract(html, weights) == f"{text.strip()}\n\nsee this too\n\n{text.strip()}"
+
+
+def test_article_around_what_is_cut(weights):
+    text = "good " * 60
+    html = f"<html><body><article><h1>T</h1><aside>{'side ' * 90}</aside><p>{text}</p></article><p>{'more ' * 9}</p></body></html>"
+    assert H.extract(html, weights) == f"T\n\n{text.strip()}"

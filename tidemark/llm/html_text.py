@@ -4,8 +4,9 @@ A page is a sequence of words and tags. Words score positive and tags negative;
 the contiguous region of the highest sum, found in one linear scan, is the main
 content (Pasternack and Roth 2009). The weights are log-odds learnt from
 labelled pages: how often a tag, or a word inside such a tag, lies inside the
-content of a page rather than outside. Elements that are never content, by their
-name or by words of their class, id or role, are cut from the region.
+content of a page rather than outside; that a page names its article enters as
+such a feature, and nothing replaces the region. Elements that are never content,
+by their name or by words of their class, id or role, are cut from the region.
 
 Scale. One pass over the pages, no shuffle; the labelled sample is bounded by
 ``LABELLED`` pages and only counts of at most ``FEATURES`` features leave it.
@@ -114,32 +115,70 @@ def tokens(page: str) -> Iterator[Token]:
         stack.append((name, mine))
 
 
+def _depths(found: list[Token]) -> list[int]:
+    """For each token how many uncut article elements are around it, their own tags within."""
+    out, open_ = [], []
+    for kind, value, cut in found:
+        if kind == "open" and value in MAIN and not cut:
+            open_.append(value)
+        out.append(len(open_))
+        if kind == "close" and value in open_:
+            del open_[len(open_) - 1 - open_[::-1].index(value) :]
+    return out
+
+
 def _scored(page: str) -> list[tuple[str, str, bool, str, int]]:
-    """Tokens with their feature and how many words they hold; words stand in a run of their element."""
+    """Tokens with their feature and how many words they hold; words stand in a run of their element.
+
+    Where article elements hold half of the words or more, being in one or
+    beside them is the feature; where they hold less they may be teasers, and
+    the features are those of a page without them.
+    """
+    found = list(tokens(page))
+    depths = _depths(found)
+    words = [len(value.split()) if kind == "text" else 1 for kind, value, _ in found]
+    within = [n * (d > 0) for (kind, _, cut), n, d in zip(found, words, depths) if kind == "text" and not cut]
+    every = sum(n for (kind, _, cut), n in zip(found, words) if kind == "text" and not cut)
+    named = 0 < every <= 2 * sum(within)
     out, where = [], ["#page"]
-    for kind, value, cut in tokens(page):
-        if kind == "text":
-            n = len(value.split())
-            out.append((kind, value, cut, "word in cut" if cut else f"word in {where[-1]}", n))
-            continue
+    for (kind, value, cut), n, depth in zip(found, words, depths):
         if kind == "open" and value in BLOCK and value not in VOID:
             where.append(value)
         elif kind == "close" and value in where:
             del where[len(where) - 1 - where[::-1].index(value) :]
-        out.append((kind, value, cut, f"tag {value}", 1))
+        if cut and named and depth:
+            feature = "cut in article"
+        elif kind == "text" and cut:
+            feature = "word in cut"
+        elif named:
+            feature = f"{'word' if kind == 'text' else 'tag'} {'in' if depth else 'beside'} article"
+        else:
+            feature = f"word in {where[-1]}" if kind == "text" else f"tag {value}"
+        out.append((kind, value, cut, feature, n))
     return out
 
 
 def _label(page: str) -> list[tuple[str, int, bool]] | None:
-    """(feature, count, inside) of each token of a page that marks its article, None for other pages."""
-    scored, depth, out, seen = _scored(page), 0, [], False
-    for kind, value, cut, feature, n in scored:
-        if kind == "open" and value in MAIN:
-            depth, seen = depth + 1, True
-        out.append((feature, n, depth > 0 and not cut))
-        if kind == "close" and value in MAIN:
-            depth = max(0, depth - 1)
-    return out if seen else None
+    """(feature, count, inside) of each token of a page that marks its article, None for other pages.
+
+    A token counts for its feature and, where that tells of the article, also
+    for the one it has on pages without articles.
+    """
+    found = list(tokens(page))
+    depths = _depths(found)
+    if not any(depths):
+        return None
+    out, where = [], ["#page"]
+    for (kind, value, cut, feature, n), depth in zip(_scored(page), depths):
+        inside = depth > 0 and not cut
+        if kind == "open" and value in BLOCK and value not in VOID:
+            where.append(value)
+        elif kind == "close" and value in where:
+            del where[len(where) - 1 - where[::-1].index(value) :]
+        out.append((feature, n, inside))
+        if feature.endswith(" article"):
+            out.append(("word in cut" if cut else f"word in {where[-1]}", n, inside) if kind == "text" else (f"tag {value}", n, inside))
+    return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +195,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: Before any page is seen: words speak for content, tags against it, cut words strongly.
-PRIOR = {"word": 1.0, "tag": -0.8, "word in cut": -6.0}
+PRIOR = {
+    "word": 1.0, "tag": -0.8, "word in cut": -6.0,
+    "word in article": 2.0, "tag in article": 0.0, "cut in article": 0.0, "word beside article": -2.0, "tag beside article": -0.8,
+}
+#: What is cut leaves the text wherever the region ends, so inside an article it says nothing.
+FIXED = ("word in cut", "cut in article")
 
 
 def learn(pages: DataFrame, html_col: str = "html", most: int = LABELLED) -> dict[str, float]:
@@ -181,7 +225,11 @@ def learn(pages: DataFrame, html_col: str = "html", most: int = LABELLED) -> dic
     weights = dict(PRIOR)
     for r in rows:
         odds = math.log((r.inside + 1) / (r.outside + 1))
-        if r.feature.startswith("word in") and r.feature != "word in cut":
+        if r.feature in FIXED:
+            continue
+        if r.feature == "tag in article":
+            weights[r.feature] = max(-4.0, min(0.0, odds))
+        elif r.feature.startswith("word"):
             weights[r.feature] = max(-4.0, min(2.0, odds))
         elif r.feature.startswith("tag"):
             weights[r.feature] = max(-4.0, min(-0.05, odds - 1.0))
@@ -203,32 +251,10 @@ def region(scored: list[tuple[str, str, bool, str, int]], weights: dict[str, flo
     return at
 
 
-def _whole(scored: list[tuple[str, str, bool, str, int]], at: tuple[int, int]) -> tuple[int, int]:
-    """The region, widened to the article element that holds its largest part where the page names one."""
-    first, end = at
-    spans, open_ = [], []
-    for i, (kind, value, cut, _, _) in enumerate(scored):
-        if kind == "open" and value in MAIN and not cut:
-            open_.append((value, i))
-        elif kind == "close" and value in MAIN:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == value:
-                    spans.append((open_[k][1], i + 1))
-                    del open_[k:]
-                    break
-    spans += [(i, len(scored)) for _, i in open_]
-    best, most = at, 0
-    for a, b in spans:
-        shared = sum(n for kind, _, cut, _, n in scored[max(a, first) : min(b, end)] if kind == "text" and not cut)
-        if shared > most or (shared == most and shared and b - a < best[1] - best[0]):
-            best, most = (a, b), shared
-    return best
-
-
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The main text: blocks joined by an empty line, white space inside a block as one space."""
     scored = _scored(page or "")
-    first, end = _whole(scored, region(scored, weights))
+    first, end = region(scored, weights)
     blocks: list[str] = []
     run: list[str] = []
 
