@@ -101,3 +101,25 @@ def test_article_around_what_is_cut(weights):
     text = "good " * 60
     html = f"<html><body><article><h1>T</h1><aside>{'side ' * 90}</aside><p>{text}</p></article><p>{'more ' * 9}</p></body></html>"
     assert H.extract(html, weights) == f"T\n\n{text.strip()}"
+
+
+@pytest.mark.parametrize("wrapper", ['class="content has-sidebar"', 'class="site header-fixed"', "id=with-comments"])
+@pytest.mark.parametrize("element", ["article", "main", "div"])
+def test_marked_wrapper_is_not_cut(weights, wrapper, element):
+    text = "good " * 60
+    html = f"<html><body><div {wrapper}><nav>menu</nav><{element}><p>{text}</p></{element}></div></body></html>"
+    assert H.extract(html, weights) == text.strip()
+
+
+def test_sections_of_an_article_stay(weights):
+    parts = [("section", "related-work"), ("section", "social-impact"), ("h2", "related-work"), ("h3", "comments")]
+    body = f"<p>{'start ' * 40}</p>" + "".join(f"<{e} id='{i}'>kept {n} {'more ' * 5}</{e}>" for n, (e, i) in enumerate(parts)) + f"<p>{'end ' * 40}</p>"
+    got = H.extract(page(body), weights)
+    assert [f"kept {n}" in got for n in range(len(parts))] == [True] * len(parts)
+
+
+def test_marked_elements_beside_and_inside(weights):
+    text = "good " * 60
+    teasers = "<div class='related posts'><article><p>one other</p></article><article><p>two other</p></article></div>"
+    thread = f"<div class=comments><p>{'reply ' * 300}</p></div>"
+    assert H.extract(page(f"<p>{text}</p><div class=ad>buy</div><p>{text}</p>", teasers + thread), weights) == f"Head & line\n\n{text.strip()}\n\n{text.strip()}"

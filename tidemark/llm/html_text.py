@@ -6,7 +6,8 @@ content (Pasternack and Roth 2009). The weights are log-odds learnt from
 labelled pages: how often a tag, or a word inside such a tag, lies inside the
 content of a page rather than outside; that a page names its article enters as
 such a feature, and nothing replaces the region. Elements that are never content,
-by their name or by words of their class, id or role, are cut from the region.
+by their name or by words of their class, id or role, are cut from the region;
+such a word cuts no element that may be a wrapper of the content.
 
 Scale. One pass over the pages, no shuffle; the labelled sample is bounded by
 ``LABELLED`` pages and only counts of at most ``FEATURES`` features leave it.
@@ -45,6 +46,9 @@ MARKS = frozenset(
     " pagination popup promo promos promoted recommend recommended related replies reply respond share sharing sidebar"
     " sidebars signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: The largest share of a page's words that a mark alone may cut.
+SHARE = 0.25
 #: Elements that name the article itself.
 MAIN = frozenset("article main".split())
 
@@ -59,12 +63,22 @@ SPACE = re.compile(r"\s+")
 Token = tuple[str, str, bool]  # kind, name or text, inside something that is cut
 
 
-def _marked(attrs: str) -> bool:
+def _words(value: str) -> list[str]:
+    return [w.lower() for w in re.split(r"[^A-Za-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value)) if w]
+
+
+def _marked(name: str, attrs: str) -> bool:
+    """Whether class, id or role hold a word of MARKS; ids of sections must be made of them, headings have none.
+
+    Ids of headings and sections are often made from their titles.
+    """
+    if name in HEADING:
+        return False
     for m in ATTR.finditer(attrs):
-        value = m[2] or m[3] or m[4] or ""
-        for w in re.split(r"[^A-Za-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value)):
-            if w.lower() in MARKS:
-                return True
+        words = _words(m[2] or m[3] or m[4] or "")
+        some = any(w in MARKS for w in words)
+        if some and not (name == "section" and m[1].lower() == "id" and not all(w in MARKS for w in words)):
+            return True
     return False
 
 
@@ -73,17 +87,32 @@ def tokens(page: str) -> Iterator[Token]:
 
     An end tag closes the innermost open element of its name; without one it is
     ignored. Elements left open close with the one around them.
+
+    A marked element is cut if it holds at most ``SHARE`` of the page's words
+    and no article element, or if it lies beside the article elements. One that
+    holds article elements is cut only if it is that small and there are
+    others outside of marked elements. So no wrapper of the content is cut.
     """
-    stack: list[tuple[str, bool]] = []
+    # kind, value, cut by name, numbers of the marked elements around
+    found: list[tuple[str, str, bool, tuple[int, ...]]] = []
+    spans: list[list[int]] = []
+    stack: list[tuple[str, bool, tuple[int, ...]]] = []
     at, n = 0, len(page)
+
+    def close(where: int) -> None:
+        around = stack[where - 1][2] if where else ()
+        for k in stack[-1][2][len(around) :]:
+            spans[k][1] = len(found)
+        del stack[where:]
+
     while at < n:
         m = TOKEN.search(page, at)
-        cut = bool(stack) and stack[-1][1]
+        cut, marks = stack[-1][1:] if stack else (False, ())
         if m is None:
-            yield "text", page[at:], cut
-            return
+            found.append(("text", page[at:], cut, marks))
+            break
         if m.start() > at:
-            yield "text", page[at : m.start()], cut
+            found.append(("text", page[at : m.start()], cut, marks))
         at = m.end()
         if not m["name"]:
             continue
@@ -91,28 +120,55 @@ def tokens(page: str) -> Iterator[Token]:
         if m["close"]:
             where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if where is not None:
-                del stack[where:]
-            yield "close", name, bool(stack) and stack[-1][1]
+                close(where)
+            found.append(("close", name, *(stack[-1][1:] if stack else (False, ()))))
             continue
         if name == "p":
             # a paragraph ends where the next begins
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in BLOCK:
                     break
-            cut = bool(stack) and stack[-1][1]
-        mine = cut or name in CUT or (name not in MAIN and name not in ("body", "html") and _marked(m["attrs"]))
-        yield "open", name, mine
+            cut, marks = stack[-1][1:] if stack else (False, ())
+        mine = marks
+        if name not in CUT and name not in MAIN and name not in ("body", "html") and _marked(name, m["attrs"]):
+            mine = (*marks, len(spans))
+            spans.append([len(found), len(found) + 1])
+        found.append(("open", name, cut or name in CUT, mine))
         if name in VOID or m["attrs"].endswith("/"):
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
-            yield "close", name, cut
+            found.append(("close", name, cut, marks))
             continue
-        stack.append((name, mine))
+        stack.append((name, cut or name in CUT, mine))
+    if stack:
+        close(0)
+    gone = _gone(found, spans) if spans else ()
+    for kind, value, cut, marks in found:
+        yield kind, value, cut or any(gone[k] for k in marks)
+
+
+def _gone(found: list[tuple[str, str, bool, tuple[int, ...]]], spans: list[list[int]]) -> list[bool]:
+    """For each marked element whether it is cut."""
+    depths = _depths([(kind, value, cut) for kind, value, cut, _ in found])
+    words, heads = [0], [0]
+    free = False
+    for (kind, value, cut, marks), depth in zip(found, depths):
+        words.append(words[-1] + (len(value.split()) if kind == "text" and not cut else 0))
+        heads.append(heads[-1] + (kind == "open" and value in MAIN and not cut))
+        free = free or (kind == "text" and depth > 0 and not cut and not marks and not value.isspace())
+    out = []
+    for first, end in spans:
+        small = words[end] - words[first] <= SHARE * words[-1]
+        if heads[end] > heads[first]:
+            out.append(free and small)
+        else:
+            out.append(small or (free and depths[first] == 0))
+    return out
 
 
 def _depths(found: list[Token]) -> list[int]:
