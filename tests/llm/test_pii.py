@@ -85,3 +85,32 @@ def test_patterns_find_more(spark):
     for i, t in rows[:60]:
         assert got[i].n_card == 1 and got[i].spans == listed(brute(t))
         assert got[i].base_sha256 == hashlib.sha256(got[i].spans.encode()).hexdigest()
+
+
+def test_numbers_in_groups_are_found_by_their_context(spark):
+    rng = random.Random(4)
+
+    def number():
+        return f"({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}"
+
+    rows = [(i, f"you may call +1 {number()} today") for i in range(80)]
+    rows += [(100, "you may call (974) 555-3436, today"), (101, "you may call 974 555 3436 12 today"), (102, "you may call 9745553436 today")]
+    rows += [(103, "rooms (974) 555-3436 here"), (104, "you may call 12 times 2024-01-01 or 5 6 7")]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == listed(brute(t)) != "" for i, t in rows[:80])
+    assert [got[i] for i in range(100, 105)] == ["phone:13:27", "phone:13:25", "phone:13:23", "", ""]
+
+
+def test_cards_in_groups_are_found_behind_other_numbers(spark):
+    rng = random.Random(6)
+
+    def card():
+        body = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        n = next(body + c for c in "0123456789" if luhn(body + c))
+        return " ".join(n[k : k + 4] for k in range(0, 16, 4))
+
+    rows = [(i, f"pay with {card()} please") for i in range(60)]
+    rows += [(100, f"order 5551234 {card()} now")]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "card:14:33" and brute(rows[60][1]) == []
+    assert all(got[i] == listed(brute(t)) != "" for i, t in rows[:60])

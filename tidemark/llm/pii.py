@@ -1,8 +1,10 @@
 """Personal data: fixed patterns as seeds, bootstrapped context patterns beyond them (DataFrame operations only).
 
 Regular expressions find the seeds. Every token that looks like an identifier
-(it holds a digit or an at sign) is an instance; the word before it together
-with its rough shape, and its exact shape, are the lexical patterns around it.
+(it holds a digit or an at sign) is an instance, and so is every row of adjacent
+numbers that has as many digits as a phone or card; the word before it, alone
+and together with its rough shape, and its exact shape are the lexical patterns
+around it.
 Instances and patterns form a bipartite graph: a pattern is as good as its
 instances, an instance as good as its patterns, seeds are certain. Some rounds
 of scoring over that graph leave patterns of high confidence, and tokens that
@@ -36,10 +38,15 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 IP_OK = rf"^{_PART}(?:\.{_PART}){{3}}$"
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Numbers one space apart, whole words but for punctuation after them.
+_NUMBER = r"[+(]*+[0-9][0-9().+-]*+(?![\p{L}\p{N}_@/=])"
+RUN = rf"(?<!\S){_NUMBER}(?: {_NUMBER})++"
+NUMBER = r"^[+(]*[0-9][0-9 ().+-]*$"
 
 ROUNDS = 3
 CONFIDENCE = 0.9
 SEEDS = 5  # distinct seeds that a pattern needs
+RUN_TOKENS = 8  # an identifier that is written in groups: at most 19 digits
 STEP = 64
 
 
@@ -143,6 +150,45 @@ def _shape(x: Column, exact: bool) -> Column:
     return F.regexp_replace(F.regexp_replace(x, "[0-9]" + many, "9"), r"\p{L}" + many, "a")
 
 
+def _runs(run: Column) -> Column:
+    """Of a run of numbers every row of 2 to ``RUN_TOKENS`` with the digits of a phone or card, as (start, end, text, word)."""
+
+    def rows(parts: Column) -> Column:
+        def row(i: Column, n: Column) -> Column:
+            last = F.get(parts, i + n - 1)
+            text = F.concat_ws(" ", F.transform(F.slice(parts, i + 1, n), lambda p: p["text"]))
+            core = F.regexp_replace(text, "[^0-9]+$", "")
+            return F.struct(
+                (run["start"] + F.get(parts, i)["start"]).alias("start"),
+                (run["start"] + last["end"] - F.length(text) + F.length(core)).alias("end"),
+                core.alias("text"),
+                F.when(i == 0, run["word"]).otherwise(F.get(parts, i - 1)["text"]).alias("word"),
+            )
+
+        most = lambda i: F.least(F.lit(RUN_TOKENS), F.size(parts) - i)
+        every = F.transform(
+            F.sequence(F.lit(0), F.size(parts) - 2), lambda i: F.transform(F.sequence(F.lit(2), most(i)), lambda n: row(i, n))
+        )
+        return F.filter(F.flatten(every), lambda r: F.length(_digits(r["text"])).between(10, 19))
+
+    return _let(located(run["text"], "[^ ]+"), rows)
+
+
+def _apart(spans: Column) -> Column:
+    """Of (start, -trust, end, kind) those that begin where the one taken before has ended."""
+
+    def step(a: Column, x: Column) -> Column:
+        free = x["start"] >= a["at"]
+        return F.struct(
+            F.when(free, x["end"]).otherwise(a["at"]).alias("at"),
+            F.when(free, F.concat(a["taken"], F.array(x))).otherwise(a["taken"]).alias("taken"),
+        )
+
+    none = F.struct(F.lit(0).alias("at"), F.filter(spans, lambda _: F.lit(False)).alias("taken"))
+    taken = F.aggregate(spans, none, step, lambda a: a["taken"])
+    return F.when(F.exists(F.transform(spans, lambda x, i: F.get(spans, i - 1)["end"] > x["start"]), lambda b: b), taken).otherwise(spans)
+
+
 def find_pii(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -164,7 +210,9 @@ def find_pii(
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("rid", F.monotonically_increasing_id())
     spans = base_spans(F.col("text"))
     tokens = F.when(F.col("text").rlike("[0-9@]"), located(F.col("text"), TOKEN, before=True))
-    found = scratch.save(rows.select("rid", "id", spans.alias("base"), tokens.alias("tokens")), "found")
+    runs = F.when(F.col("text").rlike(r"[0-9][().+-]* [+(]*[0-9]"), located(F.col("text"), RUN, before=True))
+    found = rows.select("rid", "id", spans.alias("base"), tokens.alias("tokens"), runs.alias("runs"))
+    found = scratch.save(found, "found")
 
     # punctuation around a token is not part of the instance
     lead, trail = r"^[^\p{L}0-9+]+", r"[^\p{L}0-9]+$"
@@ -181,18 +229,21 @@ def find_pii(
     ).where("length(token) >= 6")
     inside = F.filter("base", lambda b: (b["start"] >= F.col("start")) & (b["end"] <= F.col("end")))
     touched = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    inst = inst.select(
-        "rid",
-        "start",
-        "end",
-        "token",
-        F.get(F.transform(inside, lambda b: b["kind"]), F.lit(0)).alias("seed"),
-        touched.alias("touched"),
-        F.array(
-            F.concat(F.lit("word "), "word", F.lit(" "), _shape(F.col("token"), False)),
-            F.concat(F.lit("shape "), _shape(F.col("token"), True)),
-        ).alias("patterns"),
+    kind = F.get(F.transform(inside, lambda b: b["kind"]), F.lit(0))
+    cols = ["rid", "start", "end", "token", "word"]
+    inst = inst.select(*cols, kind.alias("seed"), touched.alias("touched"))
+    # a row of numbers is a seed if it is a fixed match, and none if it holds only a part of one or more than one
+    many = found.where("size(runs) > 0").select("rid", "base", F.explode("runs").alias("run"))
+    many = many.select("rid", "base", F.explode(_runs(F.col("run"))).alias("t"))
+    many = many.select("rid", "base", "t.start", "t.end", F.col("t.text").alias("token"), F.lower("t.word").alias("word"))
+    same = F.exists("base", lambda b: (b["start"] == F.col("start")) & (b["end"] == F.col("end")))
+    many = many.where(same | ~touched).select(*cols, kind.alias("seed"), touched.alias("touched"))
+    patterns = F.array(
+        F.concat(F.lit("word "), "word", F.lit(" "), _shape(F.col("token"), False)),
+        F.concat(F.lit("shape "), _shape(F.col("token"), True)),
+        F.when(F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike("[0-9]"), F.concat(F.lit("before "), "word")),
     )
+    inst = inst.unionByName(many).withColumn("patterns", F.array_compact(patterns)).drop("word")
     inst = scratch.save(inst, "instances")
     edges = inst.select("token", "seed", F.explode("patterns").alias("pattern"))
     edges = scratch.save(edges.groupBy("token", "pattern").agg(F.max("seed").alias("seed")), "edges")
@@ -217,15 +268,18 @@ def find_pii(
     more = inst.where(~F.col("touched")).select("rid", "start", "end", "token", F.explode("patterns").alias("pattern"))
     # what is found by its surroundings must still obey the law of its kind
     token = F.col("token")
+    alone = F.col("pattern").startswith("before ")
     lawful = (
-        (F.col("kind") == 0)
+        ((F.col("kind") == 0) & (~alone | token.contains("@")))
         | ((F.col("kind") == 1) & _is_ip(token))
         | ((F.col("kind") == 2) & token.rlike("^[0-9 -]+$") & _is_card(token))
-        | ((F.col("kind") == 3) & _is_phone(token))
+        | ((F.col("kind") == 3) & _is_phone(token) & ((~alone & ~token.contains(" ")) | token.rlike(NUMBER)))
     )
-    more = more.join(sure, "pattern").where(lawful).groupBy("rid", "start", "end").agg(F.max_by("kind", F.struct("trust", -F.col("kind"))).alias("kind"))
+    more = more.join(sure, "pattern").where(lawful).groupBy("rid", "start", "end").agg(F.max(F.struct("trust", -F.col("kind"))).alias("best"))
     # as long as the document's list of tokens at most
-    more = more.groupBy("rid").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
+    span = F.struct("start", (-F.col("best.trust")).alias("less"), "end", (-F.col("best.col2")).alias("kind"))
+    more = more.groupBy("rid").agg(F.array_sort(F.collect_list(span)).alias("more")).select("rid", _apart(F.col("more")).alias("more"))
+    more = more.select("rid", F.transform("more", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))).alias("more"))
     more = scratch.save(more, "more")
     count = lambda k: F.size(F.filter("base", lambda b: b["kind"] == k)).cast("long")
     every = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
