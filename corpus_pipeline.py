@@ -22,8 +22,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    return exact_dedup.drop_exact_copies(docs)
+    """Of equal texts the row with the largest doc_id stays, one row if it is repeated."""
+    return exact_dedup.drop_exact_copies(docs, one_of_repeated=True)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,3 +64,12 @@ def test_drop_keeps_columns_and_rows_without_id(awkward):
     ids = sorted(r.doc_id for r in left.collect() if r.doc_id is not None)
     # null, empty and blank texts: 5 and 6 are equal, 6 stays
     assert ids == [3, 3, 4, 6, 7, 9, 10, 11, 12, 13, 14, 15, 16]
+
+
+def test_drop_decides_by_row(spark):
+    rows = [(1, "copied text"), (1, "only here"), (2, "Copied text"), (3, "twice"), (3, "twice"), (3, "Twice"), (None, "twice"), (4, "alone")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _sha string").repartition(3)
+    key = lambda r: (r[0] or 0, r[1].lower())
+    got = [(r.doc_id, r.text) for r in drop_exact_copies(docs, one_of_repeated=True).collect()]
+    assert sorted(map(key, got)) == [(0, "twice"), (1, "only here"), (2, "copied text"), (3, "twice"), (4, "alone")]
+    assert sorted(r.doc_id or 0 for r in drop_exact_copies(docs).collect()) == [0, 1, 2, 3, 3, 3, 4]

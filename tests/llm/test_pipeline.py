@@ -40,3 +40,16 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
     assert T.Model().score("") < 0.5
+
+
+def test_repeated_ids(spark, tmp_path):
+    """Of repeated rows one passes both dedup stages; another text under the id of a copy stays."""
+    near = prose(20, 60).split()
+    near[-1] = "zz"
+    docs = [(1, prose(1, 50)), (1, prose(1, 50)), (2, prose(2, 50)), (2, prose(3, 50)), (9, prose(2, 50)), (5, prose(20, 60)), (6, " ".join(near)), (6, prose(4, 50))]
+    at = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    for n, stage in enumerate((C.exact_stage, C.near_stage)):
+        stage(spark, at, str(tmp_path)).write.parquet(f"{tmp_path}/stage{n}")
+        at = spark.read.parquet(f"{tmp_path}/stage{n}")
+    want = [docs[0], docs[3], docs[4], docs[5], docs[7]]
+    assert sorted((r.doc_id, r.text) for r in at.collect()) == sorted(want)

@@ -163,15 +163,34 @@ def exact_groups(
     return scratch.finish(out)
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; of repeated rows one stays.
+def drop_exact_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_of_repeated: bool = False
+) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns.
 
-    Rows without an id have no identity to be dropped by and stay.
+    Decided by id and text: another text under the id of a copy stays. Rows
+    that repeat the id and the text of the one that stays go with
+    ``one_of_repeated``, all but one of them; else they stay. Rows without an
+    id have no identity to be dropped by and stay.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-drop")
-    gone = exact_groups(docs, id_col, text_col).where(
-        ~F.col("kept") & F.col(id_col).isNotNull() & (F.col(id_col) != F.col("keep_id"))
+    groups = exact_groups(docs, id_col, text_col).where((F.col("group_size") > 1) & F.col(id_col).isNotNull())
+    groups = groups.groupBy(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_gone_sha")).agg(
+        F.max(F.col(id_col) == F.col("keep_id")).alias("_stays"), F.count(F.lit(1)).alias("_rows")
     )
-    gone = scratch.save(gone.select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    groups = scratch.save(groups, "groups")
+    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
+
+    def by_row(df: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        return df.join(rows, (df[id_col] == rows["_gone"]) & (sha == rows["_gone_sha"]), how)
+
+    rows = groups.where("not _stays").select("_gone", "_gone_sha")
+    repeated = groups.where("_stays and _rows > 1").select("_gone", "_gone_sha")
+    if not one_of_repeated or repeated.isEmpty():
+        return by_row(docs, rows, "left_anti")
+    name = "_sha"
+    while name in docs.columns:
+        name += "_"
+    one = by_row(docs, repeated, "left_semi").withColumn(name, sha).dropDuplicates([id_col, name]).drop(name)
+    return by_row(docs, rows.unionByName(repeated), "left_anti").unionByName(one)

@@ -335,8 +335,23 @@ def near_groups(
 def drop_near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80
 ) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: of each group the one with the smallest id."""
+    """The rows of ``docs`` that stay, all columns: of each group the one with the smallest id.
+
+    Where ids are repeated, each different text under an id is decided for
+    itself; rows that repeat id and text stay or go together.
+    """
     scratch = Scratch(docs.sparkSession, "near-drop")
-    groups = near_groups(docs, id_col, text_col, n_words, percent)
-    gone = scratch.save(groups.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    ids = docs.select(F.col(id_col).alias("id")).where("id is not null")
+    if ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        groups = near_groups(docs, id_col, text_col, n_words, percent)
+        gone = scratch.save(groups.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
+        return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    # a key for each id and text, in the order of ids
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), sha.alias("sha")).where("id is not null")
+    keys = rows.select("id", "sha").distinct().orderBy("id", "sha").withColumn("key", F.monotonically_increasing_id())
+    keys = scratch.save(keys, "keys")
+    groups = near_groups(rows.join(keys, ["id", "sha"]).select("key", "text"), "key", "text", n_words, percent)
+    gone = groups.where(~F.col("kept")).select("key").distinct().join(keys, "key")
+    gone = scratch.save(gone.select(F.col("id").alias("_gone"), F.col("sha").alias("_gone_sha")), "gone")
+    return docs.join(gone, (docs[id_col] == gone["_gone"]) & (sha == gone["_gone_sha"]), "left_anti")
