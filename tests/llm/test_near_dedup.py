@@ -117,6 +117,65 @@ def test_words_and_shingles():
 
     texts = ["a b c", None, "", "  x\ty\n", "one", "a b a b a b", "é ü"]
     for i, j, data, off in W.chunks(pa.array(texts), 4):
-        el, eo = W.shingles(data, off, 2)
+        eo = W.shingles(data, off, 2).off
         for k in range(i, j):
             assert eo[k - i + 1] - eo[k - i] == len(shingles(texts[k], 2))
+
+
+def thue_morse():
+    """Two different words that polynomials modulo 2**64 cannot tell apart."""
+    x, y = "a", "b"
+    for _ in range(10):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_equal_hashes_link_nothing(spark):
+    """Words, shingles, digests and links are told apart by bytes where their hashes are equal."""
+    x, y = thue_morse()
+    rest = prose(9, 30)
+    rows = [(1, x), (2, y), (3, f"{x} {y} {x}"), (4, f"{y} {x} {y}"), (5, f"{rest} {x} {y}"), (6, f"{rest} {y} {x}"), (7, f"{x} {rest}"), (8, f"{y} {rest}")]
+    for n in (2, 5):
+        check(spark.createDataFrame(rows, "doc_id long, text string"), rows, n)
+
+
+@pytest.mark.parametrize("n", [2, 5])
+def test_colliding_hashes(spark, monkeypatch, n):
+    """A hash of five bits: nearly everything collides, and results stay those of brute force."""
+    real = W.word_hashes
+    monkeypatch.setattr(W, "word_hashes", lambda *a: real(*a) & W.U(31))
+    import pyarrow as pa
+
+    rng = random.Random(n)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 3) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    texts += [" ".join([*t.split()[:-1], "end"]) for t in texts] + texts[:9]
+    sets = [shingles(t, n) for t in texts]
+    data, off = W.buffers(pa.array(texts))
+    made = W.shingles(data, off, n)
+    assert np.diff(made.off).tolist() == [len(s) for s in sets]
+    digests = made.digests(data, n)
+    numbers = made.numbers(n)
+    numbered = [frozenset(numbers[i:j].tolist()) for i, j in zip(made.off[:-1], made.off[1:])]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert (a == b) == (digests[i] == digests[j]) and len(a & b) == len(numbered[i] & numbered[j])
+    got = N.similar(pa.array(texts[:60]), pa.array(texts[60:120]), n, 80)
+    want = [i for i in range(60) if sets[i] | sets[60 + i] and 100 * len(sets[i] & sets[60 + i]) >= 80 * len(sets[i] | sets[60 + i])]
+    assert got.tolist() == want
+
+
+def test_texts_that_share_an_id(spark):
+    """Each text of a repeated id links for it, whichever row comes first."""
+    base, other = prose(11, 60), prose(12, 60)
+    rows = [(7, base), (7, other), (8, base + " x"), (3, other + " y"), (9, prose(13, 50)), (7, base), (None, base), (2, None), (2, other + " z")]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows, 2)
+
+
+def test_hot_group(spark):
+    """Most rows are copies or near copies of one text: frequent keys are dealt over salts."""
+    base = prose(21, 80).split()
+    rows = [(i, " ".join([*base[: i % 7], f"w{i % 900}", *base[i % 7 :]])) for i in range(3000)]
+    rows += [(10_000 + i, prose(5000 + i, 20)) for i in range(50)]
+    got = N.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), n_words=2)
+    assert got.where("doc_id < 10000").select("component_id").distinct().collect()[0][0] == 0
+    assert got.where("kept").count() == 51

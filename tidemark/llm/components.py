@@ -3,7 +3,8 @@
 Each partition first runs union-find over its own links and keeps a forest of
 at most (nodes - 1) links; the forests are then contracted together by
 alternating large-star and small-star steps, which turn every component into a
-star around its smallest node in a few rounds.
+star around its smallest node in a few rounds. The hub of a star may have any
+number of neighbours: joins on it are dealt over salts.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .skew import salted_join
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,15 +54,16 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")), "low")
-        low = low.select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("many"))
+        low = scratch.save(low, "low")
         # large star: larger neighbours move to the smallest neighbour
         large = scratch.save(
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large"
+            salted_join(both.where("v > u"), low, "u", "many", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
+            "large",
         )
         # small star: smaller neighbours and the node itself move there
-        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        hop = large.join(low, "u")
+        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("many")), "low")
+        hop = salted_join(large, low, "u", "many", "v")
         small = hop.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         old, edges = edges, scratch.save(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
         scratch.drop(old, large)

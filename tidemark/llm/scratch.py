@@ -11,14 +11,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is
-    made and remembered in the session.
+    Only where the session names none and runs in one process (local tests) a
+    temporary folder is made and remembered in the session; a cluster without
+    that setting is refused, since its machines share no local folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not _local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -98,8 +107,11 @@ class Scratch:
         """Let Spark's cleaner remove the shuffle files of finished jobs.
 
         The files go once the driver's garbage is collected; a long operator
-        asks for that between its passes so that they do not add up on disk.
+        asks for that between its passes so that they do not add up on disk. A
+        single process has no need of it.
         """
+        if _local(self.spark):
+            return
         # one collection drops the plans, the next the shuffles that they held
         for _ in range(2):
             gc.collect()

@@ -4,12 +4,16 @@ Words are maximal runs of bytes other than space, tab, LF, VT, FF and CR, the
 class ``[^\\x20\\x09-\\x0D]+``; UTF-8 continuation bytes never fall into it, so
 working on bytes gives the same words as working on characters.
 Hashes are 64-bit polynomials over random byte weights, finished by a mixing
-bijection; equal words hash equally wherever they stand.
+bijection; equal words hash equally wherever they stand. Hashes only find what
+may be equal: whatever decides a result compares the words themselves, or their
+BLAKE2b names of 128 bits where the words are in another partition.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -114,18 +118,107 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix((total[n:] - total[:-n]) * down[: len(h) - n + 1])
 
 
-def shingles(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, offsets): the sorted distinct n-word shingles of each text.
+def word_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each word, a word of each number): equal numbers within the chunk mean equal bytes.
+
+    Hashes only propose what may be equal; every word is compared with the one
+    that speaks for its hash, and hashes that stand for several words are told
+    apart by their bytes.
+    """
+    _, rep, ids = np.unique(h, return_index=True, return_inverse=True)
+    if not len(h):
+        return ids, rep
+    lead, length = rep[ids], end - start
+    first = np.concatenate([[0], np.cumsum(length)])
+    own = np.arange(first[-1]) + np.repeat(start - first[:-1], length)
+    other = np.minimum(own + np.repeat(start[lead] - start, length), len(data) - 1)
+    wrong = (length != length[lead]) | np.logical_or.reduceat(data[own] != data[other], first[:-1])
+    if wrong.any():
+        raw, known = data.tobytes(), {}
+        for i in np.flatnonzero(np.isin(ids, ids[wrong])).tolist():
+            ids[i] = known.setdefault(raw[start[i] : end[i]], (len(rep) + len(known), i))[0]
+        rep = np.concatenate([rep, [i for _, i in known.values()]])
+    return ids, rep
+
+
+def names(data: np.ndarray, start: np.ndarray, end: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """(numbers, 2) uint64: BLAKE2b names of 128 bits of the chunk's different words, the same in every chunk."""
+    raw = data.tobytes()
+    b = [hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(start[rep].tolist(), end[rep].tolist(), strict=True)]
+    return np.frombuffer(b"".join(b), U).reshape(len(rep), 2)
+
+
+class Shingles(NamedTuple):
+    """Distinct shingles of texts, by text and hash; ``at`` is the first word, ``ids`` and ``rep`` as of ``word_ids``."""
+
+    el: np.ndarray
+    off: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+    ids: np.ndarray
+    rep: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+    def same(self, i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+        """Whether shingles i and j are the same words."""
+        out = self.size[i] == self.size[j]
+        for k in range(n):
+            has = self.size[i] > k
+            x, y = np.where(has, self.at[i] + k, 0), np.where(has & out, self.at[j] + k, 0)
+            out &= ~has | (self.ids[x] == self.ids[y])
+        return out
+
+    def numbers(self, n: int) -> np.ndarray:
+        """A number for each shingle, equal within the chunk if and only if the words are."""
+        order = np.argsort(self.el, kind="stable")
+        el = self.el[order]
+        alike = np.flatnonzero(el[1:] == el[:-1])
+        if self.same(order[alike], order[alike + 1], n).all():
+            new = np.ones(len(el), np.int64)
+            new[alike + 1] = 0
+            out = np.empty(len(el), np.int64)
+            out[order] = np.cumsum(new)
+            return out
+        # one hash stands for several shingles: number the words themselves
+        rows = np.stack([np.where(self.size > k, self.ids[np.where(self.size > k, self.at + k, 0)], -1) for k in range(n)], axis=1)
+        return np.unique(rows, axis=0, return_inverse=True)[1].reshape(-1).astype(np.int64)
+
+    def digests(self, data: np.ndarray, n: int) -> list[bytes | None]:
+        """A BLAKE2b digest of each text's set of shingles by the names of their words; None for empty sets."""
+        if not len(self.el):
+            return [None] * (len(self.off) - 1)
+        name = names(data, self.start, self.end, self.rep)
+        rows = np.zeros((len(self.el), 2 * n + 1), U)
+        rows[:, 0] = self.size
+        for k in range(n):
+            has = self.size > k
+            rows[has, 2 * k + 1 : 2 * k + 3] = name[self.ids[self.at[has] + k]]
+        doc = np.repeat(np.arange(len(self.off) - 1), np.diff(self.off))
+        same = (self.el[1:] == self.el[:-1]) & (doc[1:] == doc[:-1])
+        if same.any():
+            # shingles of one hash stand in the order of their words' names
+            rows = rows[np.lexsort((*rows.T, self.el, doc))]
+        return [
+            hashlib.blake2b(rows[i:j].tobytes(), digest_size=16).digest() if j > i else None
+            for i, j in zip(self.off[:-1].tolist(), self.off[1:].tolist(), strict=True)
+        ]
+
+
+def shingles(data: np.ndarray, off: np.ndarray, n: int) -> Shingles:
+    """The distinct n-word shingles of each text, told apart by their words.
 
     A text of fewer than n words, but one at least, has its whole sequence as
-    its one shingle.
+    its one shingle. Different shingles of one hash are separate entries with
+    equal hashes.
     """
     start, end, first = spans(data, off)
     h, counts = word_hashes(data, start, end), np.diff(first)
+    ids, rep = word_ids(data, start, end, h)
     grams = gram_hashes(h, n)
     doc = np.repeat(np.arange(len(counts)), counts)
-    ok = np.arange(len(grams)) + n <= first[1:][doc[: len(grams)]]
-    el, at = grams[ok], doc[: len(grams)][ok]
+    at = np.flatnonzero(np.arange(len(grams)) + n <= first[1:][doc[: len(grams)]])
+    el, owner, size = grams[at], doc[at], np.full(len(at), n)
     short = np.flatnonzero((counts > 0) & (counts < n))
     if len(short):
         whole = np.zeros(len(short), U)
@@ -133,10 +226,18 @@ def shingles(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.
             for i in range(n - 1):
                 has = counts[short] > i
                 whole[has] = whole[has] * U(GRAM) + h[first[short[has]] + i] + U(1)
-        el, at = np.concatenate([el, mix(whole + counts[short].astype(U))]), np.concatenate([at, short])
-    order = np.lexsort((el, at))
-    el, at = el[order], at[order]
+        el, owner = np.concatenate([el, mix(whole + counts[short].astype(U))]), np.concatenate([owner, short])
+        at, size = np.concatenate([at, first[short]]), np.concatenate([size, counts[short]])
+    order = np.lexsort((el, owner))
+    el, owner, at, size = el[order], owner[order], at[order], size[order]
+    made = Shingles(el, off, at, size, ids, rep, start, end)
     new = np.ones(len(el), bool)
-    new[1:] = (el[1:] != el[:-1]) | (at[1:] != at[:-1])
-    el, at = el[new], at[new]
-    return el, np.searchsorted(at, np.arange(len(counts) + 1))
+    alike = np.flatnonzero((el[1:] == el[:-1]) & (owner[1:] == owner[:-1]))
+    if made.same(alike, alike + 1, n).all():
+        new[alike + 1] = False
+    else:
+        number = made.numbers(n)
+        order = np.lexsort((number, el, owner))
+        el, owner, at, size, number = el[order], owner[order], at[order], size[order], number[order]
+        new[1:] = (number[1:] != number[:-1]) | (owner[1:] != owner[:-1])
+    return Shingles(el[new], np.searchsorted(owner[new], np.arange(len(counts) + 1)), at[new], size[new], ids, rep, start, end)
