@@ -59,7 +59,8 @@ def test_shared_passages_at_every_offset(spark, monkeypatch):
             w = w + w
         rows.append((i, " ".join(w)))
     rows += [(1000 + i, "stop stop " * 30) for i in range(5)]
-    monkeypatch.setattr(S, "BUCKET_ROWS", 30)
+    monkeypatch.setattr(S, "BUCKET_BYTES", 3000)
+    monkeypatch.setattr(S, "SLICE_BYTES", 5000)
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows)
 
 
@@ -68,3 +69,23 @@ def test_kept_text(spark):
     df = spark.createDataFrame([(2, "new " + p + " end"), (1, p)], "doc_id long, text string")
     got = {r.doc_id: r.kept_text for r in S.remove_repeats(df, texts=True).collect()}
     assert got == {1: p, 2: "new end"}
+
+
+def test_equal_hashes_remove_nothing(spark):
+    """Windows that differ in words of equal polynomials modulo 2**64 are different windows."""
+    x, y = "a", "b"
+    for _ in range(10):
+        x, y = x + y, y + x
+    rest = prose(60, 20)
+    rows = [(1, f"{rest} {x}"), (2, f"{rest} {y}"), (3, f"{x} {rest}"), (4, f"{y} {prose(61, 20)}"), (5, f"{x} {prose(61, 20)}"), (6, f"{x} {rest} {y}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(df, rows)
+    check(df, rows, 21)
+
+
+def test_texts_that_share_an_id(spark):
+    p, q = prose(62, 40), prose(63, 40)
+    rows = [(1, p), (2, q + " " + p), (2, "other " + p + " " + q), (3, q)]
+    got = S.remove_repeats(spark.createDataFrame(rows[:3], "doc_id long, text string"), texts=True).collect()
+    assert sorted(r.kept_text for r in got if r.doc_id == 1) == [p]
+    assert sum(r.n_removed for r in got) >= 80

@@ -3,12 +3,14 @@
 A window of ``window`` words that occurs twice holds, where it occurs first, one
 whole block of ``window // 2`` words that starts at a multiple of that length.
 So only non-overlapping reference blocks are indexed, and every rolling block of
-every text probes the index. Around each hit all windows that hold it are
-compared on the hash of their whole word sequence; those that start earlier
-elsewhere are removed, and adjacent ones make up the maximal repeat.
+every text probes the index by a hash. Around each hit all windows that hold it
+are compared by the BLAKE2b name of their words, 128 bits, so that a collision of
+hashes never removes anything; those that start earlier elsewhere are removed,
+and adjacent ones make up the maximal repeat.
 
 Scale. Probes, hits and windows travel as packed arrays, dealt over slices of
-the hash space that follow the number of shuffle partitions. Each batch first
+the hash space and buckets of texts whose numbers follow the bytes of the input,
+so that what one task holds does not grow with it. Each batch first
 settles its own repeats and sends one entry for each distinct hash, so a passage
 in a third of all texts is one entry per batch and not one per text; answers go
 back by buckets of document ids. Nothing is collected, broadcast or capped.
@@ -30,19 +32,27 @@ from .scratch import Scratch
 
 U = np.uint64
 WINDOW = 20
-SLICES = 64  # at least
-BUCKET_ROWS = 400
+SLICE_BYTES = 24 << 20  # of text whose entries make up a slice; an entry is 8 bytes for a word
+BUCKET_BYTES = 800_000  # of texts that are worked on at once
 BATCH_BYTES = 2 << 20
-BATCH_ROWS = 16_000  # documents' places in a batch take 14 bits
+BATCH_ROWS = 16_000
 
 
-def _grams(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words' (start, end), each text's first word, hashes of n-word runs, and which of them lie in one text."""
-    start, end, first = W.spans(data, off)
-    h = W.word_hashes(data, start, end)
-    g = W.gram_hashes(h, n)
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(first))[: len(g)]
-    return h, first, g, doc, np.arange(len(g)) + n <= first[1:][doc]
+def _window_names(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """(windows, 2) uint64: BLAKE2b names of 128 bits of the words of the windows that begin at ``at``.
+
+    Words hold no space, so words joined by one space name their sequence.
+    """
+    if not len(at):
+        return np.zeros((0, 2), U)
+    length = end - start + 1
+    first = np.concatenate([[0], np.cumsum(length)])
+    own = np.arange(first[-1]) + np.repeat(start - first[:-1], length)
+    joined = data[np.minimum(own, len(data) - 1)]
+    joined[first[1:] - 1] = 32
+    raw = joined.tobytes()
+    spans = zip(first[at].tolist(), first[at + window].tolist(), strict=True)
+    return np.frombuffer(b"".join([hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in spans]), U).reshape(len(at), 2)
 
 
 def _by(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -62,52 +72,53 @@ def _batches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.
                 yield part.slice(j, k - j), data, off
 
 
-PROBES = "slice int, ids binary, buckets binary, keys binary, places binary"
-HITS = "bucket int, ids binary, keys binary"
+PROBES = "slice int, keys binary, places binary"
+HITS = "bucket int, keys binary"
+BLOCK, MANY = 2, 1  # an entry is a block of its text; it stands for several places, whose batch knows them
 
 
 def _probe(window: int, bits: int):
-    """(id, bucket, text) -> entries of each slice; slices from 2**bits on carry hits that the batch found itself."""
+    """(id, bucket, text) -> entries of each slice; slices from 2**bits on carry hits that the batch found itself.
+
+    An entry is a key and the bucket of a text that has it, so its size does not depend on the number of slices.
+    """
     n, slices = window // 2, 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         turn = 0
         for b, data, off in _batches(batches, 2):
-            ids, buckets = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int32)
-            _, first, g, doc, ok = _grams(data, off, n)
-            at = np.flatnonzero(ok)
+            buckets = b.column(1).to_numpy().astype(np.uint32)
+            start, end, first = W.spans(data, off)
+            g = W.gram_hashes(W.word_hashes(data, start, end), n)
+            doc = np.repeat(np.arange(len(off) - 1), np.diff(first))[: len(g)]
+            at = np.flatnonzero(np.arange(len(g)) + n <= first[1:][doc])
             # 32 bits besides those that name the slice
             key = g[at] >> U(32 - bits)
             aligned = (at - first[doc[at]]) % n == 0
             order = np.argsort(key, kind="stable")
-            key, place, aligned = key[order], doc[at][order], aligned[order]
+            key, bucket, aligned = key[order], buckets[doc[at]][order], aligned[order]
             if not len(key):
                 continue
             new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             count = np.diff(np.append(new, len(key)))
             block = np.logical_or.reduceat(aligned, new)
-            one, where = key[new], place[new]
-            packed = (where.astype(np.uint16) << 2) | (block << 1).astype(np.uint16) | (count > 1)
-            cut = np.searchsorted(one, np.arange(slices + 1, dtype=U) << U(32))
-            rows = [[], [], [], [], []]
-
-            def add(s: int, *parts: np.ndarray) -> None:
-                rows[0].append(s)
-                for r, p in zip(rows[1:], parts, strict=True):
-                    r.append(p.tobytes())
-
-            for s in range(slices):
-                x = slice(cut[s], cut[s + 1])
-                if cut[s] < cut[s + 1]:
-                    add(s, ids, buckets, one[x].astype(np.uint32), packed[x].astype(np.uint16))
+            one = key[new]
+            packed = (bucket[new] << np.uint32(2)) | np.where(block, BLOCK, 0).astype(np.uint32) | np.where(count > 1, MANY, 0).astype(np.uint32)
+            low, where = one.astype(np.uint32), (one >> U(32)).astype(np.int64)
+            heads = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+            rows: tuple[list, list, list] = ([], [], [])
+            for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(one)], strict=True):
+                for r, x in zip(rows, (int(where[i]), low[i:j].tobytes(), packed[i:j].tobytes()), strict=True):
+                    r.append(x)
             many = np.repeat(count > 1, count)
             if many.any():
-                hit, owner = key[many], place[many]
-                for bucket, part in _by(buckets[owner]):
+                hit, owner = key[many], bucket[many]
+                for k, part in _by(owner):
                     turn += 1
-                    add(slices + (bucket * 31 + turn) % slices, ids[owner[part]], np.array([bucket], np.int32), hit[part], np.zeros(0))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], ["slice", "ids", "buckets", "keys", "places"])
+                    for r, x in zip(rows, (slices + (k * 31 + turn) % slices, np.unique(hit[part]).tobytes(), np.array([k], np.uint32).tobytes()), strict=True):
+                        r.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], ["slice", "keys", "places"])
 
     return run
 
@@ -116,45 +127,26 @@ def _meet(bits: int):
     """All entries of a slice -> hits by bucket: blocks that another text or place has too."""
     slices = 1 << bits
 
-    def answer(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
-        return pa.table(
-            {
-                "bucket": pa.array([r[0] for r in rows], pa.int32()),
-                "ids": pa.array([r[1].tobytes() for r in rows], pa.binary()),
-                "keys": pa.array([r[2].tobytes() for r in rows], pa.binary()),
-            }
-        )
+    def answer(rows: list[tuple[int, np.ndarray]]) -> pa.Table:
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1].tobytes() for r in rows], pa.binary())})
 
     def run(table: pa.Table) -> pa.Table:
         s = table.column("slice")[0].as_py()
-        cols = [table.column(c).to_pylist() for c in ("ids", "buckets", "keys", "places")]
         if s >= slices:
-            return answer(
-                [
-                    (int(np.frombuffer(b, np.int32)[0]), np.frombuffer(i, np.int64), np.frombuffer(k, U))
-                    for i, b, k, _ in zip(*cols, strict=True)
-                ]
-            )
-        keys = [np.frombuffer(k, np.uint32) for k in cols[2]]
-        packed = [np.frombuffer(p, np.uint16) for p in cols[3]]
-        batch = np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys])
-        key, pack = np.concatenate(keys), np.concatenate(packed)
+            cols = [table.column(c).to_pylist() for c in ("places", "keys")]
+            return answer([(int(np.frombuffer(b, np.uint32)[0]), np.frombuffer(k, U)) for b, k in zip(*cols, strict=True)])
+        key, pack = _joined(table, "keys", np.uint32), _joined(table, "places", np.uint32)
         order = np.argsort(key, kind="stable")
-        key = key[order]
+        key, pack = key[order], pack[order]
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.append(new, len(key)))
-        block = np.logical_or.reduceat((pack[order] & 2) > 0, new)
-        many = np.logical_or.reduceat((pack[order] & 1) > 0, new)
+        block = np.logical_or.reduceat((pack & BLOCK) > 0, new)
+        many = np.logical_or.reduceat((pack & MANY) > 0, new)
         hit = np.repeat(block & ((count > 1) | many), count)
         # entries that stand for several places were answered by their own batch
-        sent = order[hit & ((pack[order] & 1) == 0)]
-        ids, buckets = np.zeros(len(sent), np.int64), np.zeros(len(sent), np.int32)
-        own = np.concatenate(keys)[sent].astype(U) | (U(s) << U(32))
-        for n, part in _by(batch[sent]):
-            at = pack[sent[part]] >> 2
-            ids[part] = np.frombuffer(cols[0][n], np.int64)[at]
-            buckets[part] = np.frombuffer(cols[1][n], np.int32)[at]
-        return answer([(b, ids[p], own[p]) for b, p in _by(buckets)])
+        sent = np.flatnonzero(hit & ((pack & MANY) == 0))
+        own = key[sent].astype(U) | (U(s) << U(32))
+        return answer([(b, own[p]) for b, p in _by(pack[sent] >> np.uint32(2))])
 
     return run
 
@@ -167,10 +159,6 @@ def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
-def _owned(ids: np.ndarray, key: np.ndarray) -> np.ndarray:
-    return W.mix(W.mix(ids.astype(U)) + key)
-
-
 def _candidates(window: int, bits: int):
     """A bucket's texts and hits -> the windows around hits, one for each distinct word sequence."""
     n, slices = window // 2, 1 << bits
@@ -188,20 +176,23 @@ def _candidates(window: int, bits: int):
             return done()
         bucket = docs.column("bucket")[0].as_py()
         ids = docs.column("id").to_numpy()
-        found = _owned(_joined(hits, "ids", np.int64), _joined(hits, "keys", U))
+        # a block that another text of the bucket shares is a hit here too
+        found = _joined(hits, "keys", U)
         data, off = W.buffers(docs.column("text"))
-        h, first, g, doc, ok = _grams(data, off, n)
-        hit = ok & np.isin(_owned(ids[doc], g >> U(32 - bits)), found)
+        start, end, first = W.spans(data, off)
+        g = W.gram_hashes(W.word_hashes(data, start, end), n)
+        doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
+        ok = np.arange(len(g)) + n <= first[1:][doc[: len(g)]]
+        hit = ok & np.isin(g >> U(32 - bits), found)
         total = np.concatenate([[0], np.cumsum(hit)])
-        w = W.gram_hashes(h, window)
-        at = np.arange(len(w))
-        inside = at + window <= first[1:][doc[: len(w)]]
+        at = np.arange(max(0, len(start) - window + 1))
+        inside = at + window <= first[1:][doc[: len(at)]]
         at = at[inside & (total[at + window - n + 1] > total[at])]
-        owner, seq = doc[at], w[at]
+        owner, seq = doc[at], _window_names(data, start, end, at, window)
         pos = (at - first[owner]).astype(np.int32)
-        order = np.lexsort((pos, ids[owner], seq))
+        order = np.lexsort((pos, ids[owner], seq[:, 1], seq[:, 0]))
         seq, owner, pos = seq[order], owner[order], pos[order]
-        new = np.concatenate([[True], seq[1:] != seq[:-1]]) if len(seq) else np.zeros(0, bool)
+        new = np.concatenate([[True], (seq[1:] != seq[:-1]).any(axis=1)]) if len(seq) else np.zeros(0, bool)
         lead = np.maximum.accumulate(np.where(new, np.arange(len(seq)), 0))
         later = (ids[owner] != ids[owner[lead]]) | (pos != pos[lead]) if len(seq) else new
 
@@ -215,7 +206,7 @@ def _candidates(window: int, bits: int):
         heads = np.flatnonzero(new)
         if not len(heads):
             return done()
-        for s, p in _by((seq[heads] >> U(64 - bits)).astype(np.int64)):
+        for s, p in _by((seq[heads, 0] >> U(64 - bits)).astype(np.int64)):
             who, places = np.unique(owner[heads[p]], return_inverse=True)
             add(s, heads[p], ids[who], places.astype(np.uint32))
         return done()
@@ -231,7 +222,7 @@ def _first(bits: int):
         s = table.column("slice")[0].as_py()
         bucket = table.column("bucket").to_pylist()
         ids = [np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()]
-        hashes = [np.frombuffer(x, U) for x in table.column("hashes").to_pylist()]
+        hashes = [np.frombuffer(x, U).reshape(-1, 2) for x in table.column("hashes").to_pylist()]
         starts = [np.frombuffer(x, np.int32) for x in table.column("starts").to_pylist()]
         out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         if s >= slices:
@@ -241,9 +232,9 @@ def _first(bits: int):
             who = np.concatenate([i[p] for i, p in zip(ids, places, strict=True)])
             seq, pos = np.concatenate(hashes), np.concatenate(starts)
             home = np.repeat(np.array(bucket, np.int32), [len(x) for x in hashes])
-            order = np.lexsort((pos, who, seq))
+            order = np.lexsort((pos, who, seq[:, 1], seq[:, 0]))
             q = seq[order]
-            new = np.concatenate([[True], q[1:] != q[:-1]])
+            new = np.concatenate([[True], (q[1:] != q[:-1]).any(axis=1)])
             lead = order[np.maximum.accumulate(np.where(new, np.arange(len(q)), 0))]
             late = order[(who[order] != who[lead]) | (pos[order] != pos[lead])]
             out = [(b, who[late[p]], pos[late[p]], seq[late[p]]) for b, p in _by(home[late])]
@@ -252,7 +243,7 @@ def _first(bits: int):
                 "bucket": pa.array([x[0] for x in out], pa.int32()),
                 "ids": pa.array([x[1].tobytes() for x in out], pa.binary()),
                 "starts": pa.array([x[2].tobytes() for x in out], pa.binary()),
-                "checks": pa.array([x[3].astype(np.uint32).tobytes() for x in out], pa.binary()),
+                "checks": pa.array([x[3][:, 1].tobytes() for x in out], pa.binary()),
             }
         )
 
@@ -272,17 +263,18 @@ def _cut(window: int, texts: bool):
         start, end, first = W.spans(data, off)
         gone = np.zeros(len(start) + 1, np.int64)
         if flags.num_rows and len(start):
-            fid, pos, check = _joined(flags, "ids", np.int64), _joined(flags, "starts", np.int32), _joined(flags, "checks", np.uint32)
-            w = W.gram_hashes(W.word_hashes(data, start, end), window).astype(np.uint32)
+            fid, pos, check = _joined(flags, "ids", np.int64), _joined(flags, "starts", np.int32), _joined(flags, "checks", U)
             order = np.argsort(fid, kind="stable")
             fid, pos, check = fid[order], pos[order], check[order]
             lo, hi = np.searchsorted(fid, ids, "left"), np.searchsorted(fid, ids, "right")
+            _, number, rows = np.unique(ids, return_inverse=True, return_counts=True)
             for k in np.flatnonzero(hi > lo):
                 p, c = pos[lo[k] : hi[k]] + first[k], check[lo[k] : hi[k]]
-                # rows that share an id without sharing the text keep what is not theirs
                 own = p + window <= first[k + 1]
                 p, c = p[own], c[own]
-                p = p[w[p] == c]
+                if rows[number[k]] > 1:
+                    # rows that share an id without sharing the text keep what is not theirs
+                    p = p[_window_names(data, start, end, p, window)[:, 1] == c]
                 np.add.at(gone, p, 1)
                 np.add.at(gone, p + window, -1)
         keep = np.cumsum(gone[:-1]) == 0
@@ -322,10 +314,9 @@ def remove_repeats(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring-dedup")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(SLICES, parts).bit_length() - (max(SLICES, parts) & (max(SLICES, parts) - 1) == 0)
-    buckets = max(1, docs.count() // BUCKET_ROWS)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits, buckets = (size // SLICE_BYTES).bit_length(), size // BUCKET_BYTES + 1
     known = rows.where("id is not null").select(
         "id", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"), "text"
     )
