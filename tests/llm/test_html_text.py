@@ -123,3 +123,74 @@ def test_marked_elements_beside_and_inside(weights):
     teasers = "<div class='related posts'><article><p>one other</p></article><article><p>two other</p></article></div>"
     thread = f"<div class=comments><p>{'reply ' * 300}</p></div>"
     assert H.extract(page(f"<p>{text}</p><div class=ad>buy</div><p>{text}</p>", teasers + thread), weights) == f"Head & line\n\n{text.strip()}\n\n{text.strip()}"
+
+
+@pytest.mark.parametrize(
+    "part",
+    ['<a "', "<div>", "</b>", '<div class="ad">', "<article></main>", "<b><p></i>", "<p><div><b>", "<a href='", '<a x="', "<!--", "<", "&#9", "<script>", "</div>", "<x y=", "<h1></p>", "<form>"],
+)
+def test_hostile_pages_take_linear_time(weights, part):
+    import time
+
+    began = time.perf_counter()
+    H.extract(part * (400_000 // len(part)), weights)
+    H.extract("<p><div>" + "<b>" * 40_000 + "<p>x</p>" * 20_000, weights)
+    assert time.perf_counter() - began < 15
+
+
+def test_content_in_a_form_or_under_a_header(weights):
+    text = "good " * 60
+    for html in (
+        f"<html><body><form action=x><input name=v><h1>T</h1><p>{text}</p><button>go</button></form></body></html>",
+        f"<html><body><nav>menu</nav><article><header><h1>T</h1></header><p>{text}</p></article><footer>us</footer></body></html>",
+        f"<html><body><article><div class='post-header'><h1>T</h1></div><p>{text}</p></article></body></html>",
+        f"<html><body><header><h2>Site</h2><nav>menu</nav></header><article><h1>T</h1><p>{text}</p></article></body></html>",
+        f"<html><body><form><header>Site</header><main><h1>T</h1><p>{text}</p></main></form></body></html>",
+    ):
+        assert H.extract(html, weights) == f"T\n\n{text.strip()}", html
+    got = H.extract(page(f"<p>{text}</p><p class=related>it is related</p><form><label>mail</label> join our letter</form><p>{text}</p>"), weights)
+    assert got == f"Head & line\n\n{text.strip()}\n\nit is related\n\n{text.strip()}"
+
+
+def test_quotes_count_after_an_equals_sign(weights):
+    text = "good " * 30
+    assert H.extract(page(f"<p a\">{text}<a href=\"x>y\" title='>'>link</a></p>"), weights) == f"Head & line\n\n{text}link"
+    assert H.extract(f"<article><p>{text}</p><p title=\"open>{text}</p></article>", weights) == f"{text.strip()}\n\n{text.strip()}"
+    assert H.extract("<article><p>a &#" + "9" * 9000 + "; b &#x" + "f" * 50 + "; c</p></article>", weights) == "a \ufffd b \ufffd c"
+
+
+def brute_text(html, weights):
+    """The whole extraction with the region by trying all."""
+    scored = H._scored(html)
+    value = [weights.get(f, weights["word" if k == "text" else "tag"]) * n for k, _, _, f, n in scored]
+    sums = [0.0]
+    for v in value:
+        sums.append(sums[-1] + v)
+    best = max([0.0, *(sums[j] - sums[i] for i in range(len(value)) for j in range(i + 1, len(value) + 1))])
+    found = [(i, j) for i in range(len(value)) for j in range(i + 1, len(value) + 1) if best > 0 and abs(sums[j] - sums[i] - best) < 1e-9]
+    out = set()
+    for i, j in found or [(0, 0)]:
+        blocks, run = [], ""
+        for kind, v, cut, _, _ in [*scored[i:j], ("open", "p", False, "", 1)]:
+            if kind == "text" and not cut:
+                run += v
+            elif kind != "text" and v in H.BLOCK:
+                blocks.append(" ".join(run.split()))
+                run = ""
+        out.add("\n\n".join(b for b in blocks if b))
+    return out
+
+
+def test_whole_extraction_against_brute_force(spark, weights):
+    rng = random.Random(12)
+    names = ["p", "div", "a", "li", "b", "article", "section", "form", "aside", "div class=ad"]
+    rows = []
+    for i in range(200):
+        parts = []
+        for _ in range(rng.randint(0, 30)):
+            n = rng.choice(names)
+            parts.append(rng.choice([f"<{n}>", f"</{n.split()[0]}>", "some words here ", f"x{i} ", "a few more words of content "]))
+        rows.append((i, "u", "".join(parts)))
+    got = H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), weights).collect()
+    for r in got:
+        assert r.text in brute_text(rows[r.page_id][2], weights) and r.n_chars == len(r.text)
