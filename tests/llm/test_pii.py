@@ -114,3 +114,101 @@ def test_cards_in_groups_are_found_behind_other_numbers(spark):
     got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[100] == "card:14:33" and brute(rows[60][1]) == []
     assert all(got[i] == listed(brute(t)) != "" for i, t in rows[:60])
+
+
+def test_secrets(spark):
+    """Seeds are what is assigned to a token; their making and their contexts find others."""
+    rng = random.Random(9)
+    hex_ = lambda n: "1a" + "".join(rng.choice("0123456789abcdef") for _ in range(n - 2))
+    rows = [(i, f'some text token = "{hex_(40)}" and more') for i in range(40)]
+    rows += [(50 + i, f"some text api_key={hex_(32)}, and more") for i in range(8)]
+    lone, short = hex_(40), hex_(12)
+    rows += [(100, f"lost {lone} here"), (101, f"token = '{short}' is short"), (102, f"commit {hex_(36)} is none"), (103, "token = none 12 3456789")]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].spans == "secret:19:59" and got[i].n_secret == 1 for i in range(40))
+    assert all(got[50 + i].spans == "secret:18:50" for i in range(8))
+    assert got[100].spans == "secret:5:45" and got[101].spans == "secret:9:21" and got[102].spans == got[103].spans == ""
+    assert all(r.base_sha256 == hashlib.sha256(b"").hexdigest() and r.n_email == r.n_ip == r.n_card == r.n_phone == 0 for r in got.values())
+
+
+def test_addresses_that_are_no_fixed_match(spark):
+    rows = [(i, f"login from 10.{i}.2.{i + 3} failed") for i in range(40)]
+    rows += [(100, "login from 10-1-2-3 failed"), (101, "login from 10[.]1[.]2[.]3 failed"), (102, "login from fe80::1ff:fe23:4567 failed")]
+    rows += [(103, "login from 300-1-2-3 failed"), (104, "login from 2024-01-01 failed"), (105, "parts 10-1-2-3 here")]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(100, 106)] == ["ip:11:19", "ip:11:25", "ip:11:30", "", "", ""]
+
+
+def brute_scores(edges, rounds, seeds):
+    certain = {(t, s): 1.0 for t, _, s, _ in edges if s is not None}
+    scores = dict(certain)
+    for _ in range(rounds):
+        size, total, sure = {}, {}, {}
+        for t, p, _, _ in edges:
+            size[p] = size.get(p, 0) + 1
+            for (u, k), v in scores.items():
+                if u == t:
+                    total[p, k] = total.get((p, k), 0) + v
+                    sure[p, k] = sure.get((p, k), 0) + (v == 1.0)
+        good = {(p, k): v / (size[p] + 0.5) for (p, k), v in total.items() if sure[p, k] >= seeds and v / (size[p] + 0.5) >= 0.05}
+        scores = dict(certain)
+        for t, p, s, _ in edges:
+            for (q, k), v in good.items():
+                if q == p and s is None:
+                    scores[t, k] = max(scores.get((t, k), 0), min(v, 0.99))
+    return good
+
+
+def test_graph_scores_against_brute_force(spark, monkeypatch):
+    from tidemark.llm import skew
+    from tidemark.llm.scratch import Scratch
+
+    monkeypatch.setattr(skew, "LEAST", 10)
+    rng = random.Random(1)
+    edges = {}
+    kinds = {f"t{i}": rng.choice([None, None, 0, 1]) for i in range(120)}
+    for t in kinds:
+        for p in {"hot", *(f"p{rng.randrange(12)}" for _ in range(3))}:
+            edges[t, p] = (t, p, kinds[t], rng.randint(1, 4))
+    rows = list(edges.values())
+    df = spark.createDataFrame(rows, "token string, pattern string, seed int, uses long")
+    for rounds in (1, 3):
+        want = brute_scores(rows, rounds, 2)
+        got = pii.score_patterns(df, rounds, 2, Scratch(spark, "test")).collect()
+        assert {(r.pattern, r.kind): round(r.trust, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_precision_and_recall_on_planted_identifiers(spark):
+    """Identifiers that no fixed pattern matches, among look-alikes; the figures are in the README."""
+    rng = random.Random(77)
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    fill = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(2, 6)))
+    hex_ = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    rows, truth = [], {}
+
+    def add(before, value, after, kind=None):
+        text = f"{fill()} {before}"
+        if kind:
+            truth[len(rows)] = f"{kind}:{len(text)}:{len(text) + len(value)}"
+        rows.append((len(rows), f"{text}{value}{after} {fill()}"))
+
+    for _ in range(60):
+        add("ring ", f"+44 {rng.randint(200, 999)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}", "")
+        add("host ", ".".join(str(rng.randrange(256)) for _ in range(4)), "")
+        add('token = "', hex_(40), '"')
+    base = len(rows)
+    for _ in range(40):
+        add("ring ", f"0{rng.randint(100, 999)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}", "", "phone")
+        add("host ", "-".join(str(rng.randrange(256)) for _ in range(4)), "", "ip")
+        add("saw ", hex_(40), "", "secret")
+        add("token = ", hex_(16), "", "secret")
+        add("year ", str(rng.randint(1900, 2030)), "")
+        add("isbn ", f"978-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", "")
+        add("commit ", hex_(24), "")
+        add("sum ", str(rng.randint(10**9, 10**10)), "")
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {i: s for i, s in got.items() if i >= base and s}
+    right = sum(truth.get(i) == s for i, s in found.items())
+    precision, recall = right / len(found), right / len(truth)
+    print("precision", precision, "recall", recall)
+    assert precision > 0.95 and recall > 0.95
