@@ -50,7 +50,8 @@ def test_no_match_within_budget_is_missed():
                 del m[p]
         noise = lambda: "".join(rng.choice("abcdefgh ") for _ in range(40))
         text = C.normalise(noise() + " " + "".join(m) + " " + noise())
-        d, k = distance(item, text), int(C.RATE * len(item))
+        k = int(C.RATE * len(item))
+        d = distance(item, text) if k else distance(f" {item} ", f" {text} ")
         assert C.Matcher([(1, item)], C.RATE).match(text).get(1) == (d if d <= k else None)
 
 
@@ -92,3 +93,47 @@ def test_empty(nothing, awkward, spark):
     assert C.contamination(nothing, none).count() == 0
     assert not any(r.contaminated for r in C.contamination(awkward, none).collect())
     assert C.drop_contaminated(awkward, none).count() == awkward.count()
+
+
+def test_short_items_are_whole_words():
+    m = C.Matcher([(1, "cat"), (2, "a cat sat")], C.RATE)
+    assert m.match(C.normalise("We concatenate lists; a cat, sat.")) == {1: 0, 2: 0}
+    assert m.match(C.normalise("We concatenate lists")) == m.match("") == {}
+    assert m.match("cat") == {1: 0}
+
+
+def test_items_that_share_pieces():
+    """Many items of one beginning: each is found where it is, by brute force."""
+    rng = random.Random(4)
+    head = prose(70, 20)
+    items = [(i, C.normalise(f"{head} {prose(300 + i, 18)}")) for i in range(30)]
+    texts = [C.normalise(f"{prose(600 + i, 30)} {t[: len(t) - rng.randint(0, 16)]} {prose(700 + i, 9)}") for i, t in items[:12]]
+    m = C.Matcher(items, C.RATE)
+    for t in texts:
+        want = {}
+        for i, item in items:
+            d = distance(item, t)
+            if d <= int(C.RATE * len(item)):
+                want[i] = d
+        assert m.match(t) == want
+
+
+def test_whole_table_against_brute_force(spark):
+    rng = random.Random(14)
+    items = [(i, prose(800 + i, rng.randint(1, 30))) for i in range(12)]
+    rows = []
+    for i in range(60):
+        w = prose(2000 + i, 40).split()
+        if i % 2:
+            part = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, 8)):
+                part[rng.randrange(len(part))] = rng.choice("xyz")
+            w[10:10] = ["".join(part)]
+        rows.append((i, " ".join(w)))
+    got = C.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    for r in got:
+        text = f" {C.normalise(rows[r.doc_id][1])} "
+        long = lambda t: int(C.RATE * len(C.normalise(t))) > 0
+        near = {i: distance(C.normalise(t) if long(t) else f" {C.normalise(t)} ", text) for i, t in items}
+        want = {i: d for i, d in near.items() if d <= int(C.RATE * len(C.normalise(items[i][1])))}
+        assert (r.item_ids, r.least_edits, r.contaminated) == (sorted(want), min(want.values(), default=None), bool(want))

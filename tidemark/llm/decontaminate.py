@@ -8,7 +8,8 @@ finds the best match of the item anywhere in that stretch.
 
 Texts and items are compared in lower case with every run of other characters
 than letters and digits as one space. The budget k is ``rate`` of the item's
-length, rounded down. Items without letters or digits match nothing.
+length, rounded down. Short items, whose budget is 0, match as whole words only:
+"cat" is no part of "concatenate". Items without letters or digits match nothing.
 
 Scale. Documents are read in place, without a shuffle. Items are taken in
 blocks of at most ``BLOCK_CHARS`` characters, which bounds what is sent to the
@@ -31,6 +32,7 @@ from .scratch import Scratch
 RATE = 0.06
 BLOCK_CHARS = 4_000_000
 OTHER = re.compile(r"[\W_]+")
+GRAM = 6
 
 
 def normalise(text: str | None) -> str:
@@ -73,13 +75,19 @@ def myers(item: str, text: str, k: int) -> int | None:
     return best if best <= k else None
 
 
+def grams(text: str) -> set[str]:
+    return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+
+
 class Matcher:
-    """Finds items, given as (id, normalised text), in normalised texts."""
+    """Finds items, given as (id, normalised text), in normalised texts; those without a budget as whole words."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
         import ahocorasick
 
-        self.items = [(i, t, int(rate * len(t))) for i, t in items if t]
+        budgets = [(i, t, int(rate * len(t))) for i, t in items if t]
+        self.items = [(i, t if k else f" {t} ", k) for i, t, k in budgets]
+        self.grams: dict[int, set[str]] = {}
         self.found = ahocorasick.Automaton()
         for n, (_, t, k) in enumerate(self.items):
             for at, piece in pieces(t, k):
@@ -91,6 +99,8 @@ class Matcher:
         """Item id to its least number of edits, for each item within its budget."""
         if not self.items or not text:
             return {}
+        text = f" {text} "
+        near: dict[tuple[int, int], set[str]] = {}
         starts: dict[int, set[int]] = {}
         for end, value in self.found.iter(text):
             for n, at in value:
@@ -104,7 +114,15 @@ class Matcher:
                 out[name] = 0
                 continue
             best = None
+            if n not in self.grams:
+                self.grams[n] = grams(item)
             for a, b in self._stretches(sorted(ends), len(item), k, size, len(text)):
+                # an edit destroys at most GRAM grams; items that share a piece mostly end here
+                at = (a // 64, -(-b // 64))
+                if at not in near:
+                    near[at] = grams(text[at[0] * 64 : at[1] * 64])
+                if len(self.grams[n] - near[at]) > k * GRAM:
+                    continue
                 got = myers(item, text[a:b], k)
                 if got is not None and (best is None or got < best):
                     best = got
