@@ -9,9 +9,9 @@ segments of chance rare. Segment scores are calibrated by the extreme-value law
 of Karlin and Altschul, E = K * n * exp(-lambda * S), with K and lambda fitted
 to clean texts, and a text's significant segments are summed into one score.
 
-Scale. The labelled sample is bounded by ``max_labels`` rows (chosen by hash)
-and ``max_terms`` features, so both broadcasts have a size bound. Texts
-are never shuffled: training reads them beside the broadcast labels, and
+Scale. The labelled sample is bounded by ``max_labels`` rows (chosen by hash),
+and a feature must be in ``SUPPORT`` of the toxic texts of that sample, so both
+broadcasts have a size bound. Texts are never shuffled: training reads them beside the broadcast labels, and
 scoring is one pass over all of them.
 """
 
@@ -31,7 +31,6 @@ from .kept import forget
 from .scratch import Scratch
 
 MAX_LABELS = 200_000
-MAX_TERMS = 200_000
 PREFIXES = (6, 5, 4)
 WORD = re.compile(r"[^\W\d_]+")
 FLUSH = 100_000
@@ -184,7 +183,6 @@ def train(
     text_col: str = "text",
     label_col: str = "toxic",
     max_labels: int = MAX_LABELS,
-    max_terms: int = MAX_TERMS,
 ) -> Model:
     """Fit a model on the labelled texts; the caller passes only labels that may be learnt from.
 
@@ -221,7 +219,7 @@ def train(
     spread = F.sqrt(1 / (F.col("n1") + alpha) + 1 / (F.col("n0") + alpha))
     scored = counts.where("f <> ''").select("f", "n0", "n1", (delta - 1.64 * spread).alias("low"), (delta / spread).alias("z"))
     sign = (F.col("n1") >= max(3, SUPPORT * t1)) & (F.col("z") > 3) & (F.col("low") > 1)
-    best = scored.where(sign).orderBy(F.desc("z"), "f").limit(max_terms).collect()
+    best = scored.where(sign).orderBy(F.desc("z"), "f").collect()
     drift = 0.5
     weight = {r.f: min(8.0, float(r.low)) for r in best}
     # frequent clean words under a toxic prefix are excepted from it; other clean features say nothing
@@ -231,7 +229,7 @@ def train(
         if own_k := [x for x in stems if len(x) == k]:
             under = under | F.substring("f", 1, k).isin(own_k)
     clean = scored.where(~F.col("f").endswith("*") & (F.col("n0") >= 3) & (F.col("low") <= 0) & under)
-    clean = clean.orderBy(F.desc(F.col("n0") + F.col("n1")), "f").limit(max_terms).collect()
+    clean = clean.orderBy("f").collect()
     weight |= {r.f: -drift for r in clean if r.f not in weight}
 
     def measured(model: Model, name: str) -> DataFrame:
