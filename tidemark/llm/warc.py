@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .skew import salted_join
 
 LEAST_BYTES = 100
 LEVEL = 4
@@ -216,7 +217,9 @@ def _archive(root: str, folder: str):
         files, base = open_fs(root)
         base = f"{base.rstrip('/')}/{folder}"
         files.create_dir(base, recursive=True)
-        number = TaskContext.get().partitionId()
+        # another attempt of the task, also one beside this, has files of its own; only the paths of one attempt are passed on
+        task = TaskContext.get()
+        name = f"{task.partitionId():06d}-{task.taskAttemptId()}"
         count = 0
 
         def rows() -> Iterator[bytes]:
@@ -226,7 +229,7 @@ def _archive(root: str, folder: str):
                     count += 1
                     yield page_record(page.as_py(), url.as_py(), (html.as_py() or "").encode(), sha.as_py(), first.as_py())
 
-        whole, done = f"{base}/{number:06d}.mono.gz", f"{base}/{number:06d}.warc.gz"
+        whole, done = f"{base}/{name}.mono.gz", f"{base}/{name}.warc.gz"
         write_monolithic(whole, rows(), files)
         if count:
             normalise_file(files, whole, done)
@@ -310,8 +313,8 @@ def round_trip(
     ).withColumn("sha", F.sha2("html", 256))
     same = rows.where(F.octet_length("html") >= least_bytes).select("page_id", "sha")
     same = same.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    same = scratch.save(same.where("n > 1 and first is not null").select("sha", "first"), "same")
-    typed = rows.join(same, "sha", "left").select(
+    same = scratch.save(same.where("n > 1 and first is not null").select("sha", "first", "n"), "same")
+    typed = salted_join(rows, same, "sha", "n", "page_id", how="left").select(
         "page_id", "url", "html", "sha", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("first")
     )
     name = folder or "archives"
