@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .errors import CardinalityCorruption, OptimisticConflict, WriteRejected
 from .expr import Predicate
-from .model import Model
+from .model import Model, ValueObject
 from .operators.writes import Writer, assigned
 from .plans.compile import Compiler
 from .plans.unitofwork import DELETE, INSERT, UPDATE, UnitOfWork
@@ -88,6 +88,8 @@ class Transaction(Reads):
     def __init__(self, spark: SparkSession, model: Model, catalog: Catalog, now: Callable[[], dt.datetime]) -> None:
         super().__init__(model, catalog)
         self.spark, self.touched = spark, {}
+        #: of tables in buckets, the ones that ``touched`` holds
+        self.parts: dict[str, set[int]] = {}
         self._now, self._tx = now, None
         self._work = UnitOfWork(spark, model, catalog)
 
@@ -98,12 +100,29 @@ class Transaction(Reads):
         return self._tx
 
     def flush(self) -> None:
-        for table, df in self._work.apply(self.instant).items():
+        for table, df in self._work.apply(self.instant, part=self._part).items():
             self._put(table, df)
         self._work = UnitOfWork(self.spark, self.model, self.catalog)
 
+    def _part(self, table: str, keys: DataFrame) -> DataFrame:
+        """The rows of a table whose bucket a key falls into, with those that were touched before."""
+        kept = self.catalog.buckets.get(table)
+        return self.catalog.frame(table) if kept is None else self._take(table, kept.touched(keys))
+
+    def _take(self, table: str, numbers: set[int]) -> DataFrame:
+        kept, before = self.catalog.buckets[table], self.parts.get(table, set())
+        more = numbers - before
+        self.parts[table] = before | numbers
+        if table not in self.touched:
+            return kept.frame(more)
+        return self.touched[table].unionByName(kept.frame(more)) if more else self.touched[table]
+
     def _put(self, table: str, df: DataFrame) -> None:
         self.touched[table] = df
+        kept = self.catalog.buckets.get(table)
+        if kept is not None:
+            rest = set(kept.paths) - self.parts[table]
+            df = df.unionByName(kept.frame(rest)) if rest else df
         self.catalog = self.catalog.with_table(table, df)
 
     def _compiler(self) -> Compiler:
@@ -145,7 +164,17 @@ class Transaction(Reads):
             w.validate(values)
         c = Compiler(self.model, self.catalog)
         c.checker.predicate(p, name, {name})
-        at = c.position(name, {name}, {a: History() for a in self.model.axes(name)})
+        if not w.axes and w.version is None and any(isinstance(m, ValueObject) and m.many for n, m in self.model.resident(name).items() if n in (values or {})):
+            raise WriteRejected("predicate-write-readless-document-many-unsupported", name)
+        history = {a: History() for a in self.model.axes(name)}
+        at = c.position(name, {name}, history)
+        kept = self.catalog.buckets.get(table)
+        if kept is not None:
+            # only buckets that hold a row to write are written
+            hit = at.df.where(at.lowering().lower(p)).select(*[at.col(k).alias(k) for k in kept.key])
+            self.catalog = self.catalog.with_table(table, self._take(table, kept.touched(hit)))
+            c = Compiler(self.model, self.catalog)
+            at = c.position(name, {name}, history)
         where, new = at.lowering().lower(p), assigned(self.model, name, values or {})
         df = at.df
         if not w.axes:
@@ -191,7 +220,7 @@ class Database(Reads):
             if not tx.touched:
                 return out
             try:
-                self.store.commit(tx.touched, base)
+                self.store.commit(tx.touched, base, touched=tx.parts)
             except OptimisticConflict:
                 if n == attempts - 1 or self.store.head() == base:
                     raise

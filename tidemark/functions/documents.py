@@ -67,13 +67,17 @@ def read_pair(col: Column) -> tuple[Column, Column]:
     return col.isNotNull(), col
 
 
-def patched(text: Column, assigned: dict[str, Any]) -> Column:
-    """The object with some top-level members set and all others kept, unknown ones too.
+def merged(text: Column, patch: Column) -> Column:
+    """The object with the top-level members of another set, and all others kept, unknown ones too.
 
     What is no object counts as an empty one.
     """
     none = F.create_map().cast("map<string,variant>")
-    members = F.coalesce(F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>"), none)
-    kept = F.map_filter(members, lambda k, _: ~k.isin(*assigned))
-    new = F.create_map(*[x for k, v in assigned.items() for x in (F.lit(k), F.parse_json(F.lit(json.dumps(v))))])
-    return F.to_json(F.map_concat(kept, new))
+    members = lambda t: F.coalesce(F.try_variant_get(F.try_parse_json(t), "$", "map<string,variant>"), none)
+    new = members(patch)
+    return F.to_json(F.map_concat(F.map_filter(members(text), lambda k, _: ~F.map_contains_key(new, k)), new))
+
+
+def patched(text: Column, assigned: dict[str, Any]) -> Column:
+    """``merged`` with members of given values."""
+    return merged(text, F.lit(json.dumps(assigned)))

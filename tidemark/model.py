@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property
+from typing import Any
 
 from pyspark.sql import types as T
 
 from .errors import ModelRejected, QueryRejected
-from .types import spark_type
+from .types import document_value, spark_type
 
 VALID, TRANSACTION = "valid", "transaction"
 #: The fixed interval columns of each axis.
@@ -62,6 +63,16 @@ class ValueObject:
     def member(self, name: str) -> Attribute | ValueObject | None:
         return next((m for m in self.members if m.name == name), None)
 
+    def encoded(self, value: Any) -> Any:
+        """A composite (dictionary, or list of them) as it stands in a JSON document; a missing list is an empty one."""
+        if self.many:
+            return [self._encoded(x) for x in value or ()]
+        return None if value is None else self._encoded(value)
+
+    def _encoded(self, value: dict[str, Any]) -> dict[str, Any]:
+        own = {m.name: m for m in self.members}
+        return {k: own[k].encoded(v) if isinstance(own[k], ValueObject) else document_value(v, own[k].type) for k, v in value.items()}
+
 
 @dataclass(frozen=True)
 class SortKey:
@@ -250,6 +261,14 @@ class Model:
                     out.add(full.join[1])
         return out
 
+    def resident(self, name: str) -> dict[str, Attribute | ValueObject]:
+        """The members that stand in the document of a document layout, by name; none elsewhere."""
+        if not self.root(name).document:
+            return {}
+        ends = self._join_members(self.entity(name).qualified)
+        own = [a for a in self.attributes(name) if not a.primary_key and not a.optimistic_locking and a.name not in ends]
+        return {m.name: m for m in (*own, *self.value_objects(name))}
+
     def schema(self, name: str) -> T.StructType:
         return T.StructType([T.StructField(c, t, n) for c, t, n in self.layout(name)])
 

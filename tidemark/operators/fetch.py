@@ -2,7 +2,11 @@
 
 A to-many view is an array, empty where nothing is related; a to-one view is a
 struct or null; a view whose guard leaves a root out is null. A hop that leads
-back over the one before it needs no join, since its key is known.
+back over the one before it needs no join, since its key is known. Where roots
+are chosen by a predicate or limit, each level first keeps the rows whose parent
+is wanted (a semi-join on the parents' keys, broadcast by Spark where they are
+few), so only those are grouped. A parent with very many children has them in
+one array: ``exploded`` gives flat rows, and ``flat`` without building arrays.
 """
 
 from __future__ import annotations
@@ -12,8 +16,9 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..model import AXIS_COLUMNS, Relationship, SortKey
+from ..model import AXIS_COLUMNS, Model, Relationship, SortKey
 from ..plans.includes import Node, tree, view_key
 from ..plans.validate import alternatives, covered
 from ..query import History, Hop, Query
@@ -69,8 +74,13 @@ def _attach(compiler: Compiler, at: Position, nodes: Nodes, came: tuple[str, Rel
         if scanned:
             chosen = {a: History() if a in shared else s for a, s in chosen.items()}
         child = compiler.position(r.target, within, chosen)
-        below, inner = _attach(compiler, child, node.below, (owner, next(x for x in m.relationships(owner) if x.name == name)))
         key = child.attribute(m.attribute(r.target, r.join[1]))
+        if at.restricted:
+            # related rows of chosen parents only, before they are grouped and nested
+            parents = at.df.select(own.alias(f"p_{child.alias}"))
+            child.df = child.df.join(parents, key == F.col(f"p_{child.alias}"), "left_semi")
+            child.restricted = True
+        below, inner = _attach(compiler, child, node.below, (owner, next(x for x in m.relationships(owner) if x.name == name)))
         payload = _payload(child, below, inner, compiler)
         # milestones of a root are views of their own: children valid at the milestone's start
         tie = {f"e{i}": AXIS_COLUMNS[a] for i, a in enumerate(shared)}
@@ -86,7 +96,7 @@ def _attach(compiler: Compiler, at: Position, nodes: Nodes, came: tuple[str, Rel
             sort = [child.attribute(m.attribute(first, k.attribute)).alias(f"k{i}") for i, k in enumerate(keys)]
             rows = below.select(key.alias("_key"), *[e.alias(f"_{n}") for n, e in zip(tie, ends, strict=True)], F.struct(*sort, payload.alias("v")).alias("_row"))
             grouped = rows.groupBy("_key", *[f"_{n}" for n in tie]).agg(F.collect_list("_row").alias("_rows"))
-            ordered = F.array_sort("_rows", _comparator(keys))
+            ordered = F.array_sort("_rows") if _plain(keys, m, first, rows.schema["_row"].dataType) else F.array_sort("_rows", _comparator(keys))
             side = grouped.select("_key", *[f"_{n}" for n in tie], F.transform(ordered, lambda x: x["v"]).alias(view))
         else:
             side = below.select(key.alias("_key"), *[e.alias(f"_{n}") for n, e in zip(tie, ends, strict=True)], payload.alias(view))
@@ -105,6 +115,17 @@ def _attach(compiler: Compiler, at: Position, nodes: Nodes, came: tuple[str, Rel
     return df, views
 
 
+def _plain(keys: list[SortKey], m: Model, name: str, row: T.StructType) -> bool:
+    """Whether structs that begin with the sort keys are in order as they are compared by Spark itself."""
+
+    def orderable(t: T.DataType) -> bool:
+        if isinstance(t, T.StructType):
+            return all(orderable(f.dataType) for f in t)
+        return orderable(t.elementType) if isinstance(t, T.ArrayType) else not isinstance(t, (T.VariantType, T.MapType))
+
+    return orderable(row) and not any(k.descending or m.attribute(name, k.attribute).nullable for k in keys)
+
+
 def _comparator(keys: list[SortKey]):
     return lambda a, b: _order(a, b, keys)
 
@@ -126,6 +147,18 @@ def fetched(compiler: Compiler, q: Query) -> DataFrame:
     return df
 
 
+def flat(compiler: Compiler, q: Query, relationship: str) -> DataFrame:
+    """A row for each pair of a root and a row related to it, as structs ``parent`` and ``child``; nothing is grouped."""
+    at, m = compiler.roots(q), compiler.model
+    r = m.relationship(at.name, relationship)
+    child = compiler.position(r.target, covered(m, (r.target,)), temporal.propagated(m.axes(r.target), at.chosen))
+    own, key = at.attribute(m.attribute(at.name, r.join[0])), child.attribute(m.attribute(r.target, r.join[1]))
+    return at.df.join(child.df, own == key).select(
+        F.struct(*[at.col(c).alias(c) for c in compiler.columns(at)]).alias("parent"),
+        F.struct(*[child.col(c).alias(c) for c in compiler.columns(child)]).alias("child"),
+    )
+
+
 def exploded(df: DataFrame, view: str, *keys: str) -> DataFrame:
     """Flat rows of a to-many view beside some root columns."""
     return df.select(*keys, F.explode(F.col(f"`{view}`")).alias("_row")).select(*keys, "_row.*")

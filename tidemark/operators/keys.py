@@ -15,25 +15,31 @@ def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
 
     Rows are put into buckets by a sample of the order (quantiles), numbered in
     each, and moved by the count of the buckets before; a bucket count is one
-    row. Rows that the order does not tell apart get numbers in any order.
+    row. Cuts are values of the whole order and of a hash of the row, so that a
+    frequent value of its first column is cut too. Rows that the order does not
+    tell apart get numbers by that hash, and repeated rows in any order.
     """
     parts = min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    first = F.col(order[0])
-    sample = [r[0] for r in df.select(first).where(first.isNotNull()).orderBy(F.xxhash64(first)).limit(parts * SAMPLES).collect()]
-    cuts = sorted({sorted(sample)[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
+    by = [*[F.col(c) for c in order], F.xxhash64(*df.columns)]
+    first = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(by)])
+    sample = df.select(first.alias("s"), by[-1].alias("h")).orderBy(F.xxhash64("h"), "s").limit(parts * SAMPLES)
+    kinds = [f.dataType for f in sample.schema["s"].dataType]
+    sample = [r[0] for r in sample.select("s").orderBy("s").collect()]
+    cuts = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
+    cuts = [F.struct(*[F.lit(v).cast(t).alias(f"o{i}") for i, (v, t) in enumerate(zip(c, kinds, strict=True))]) for n, c in enumerate(cuts) if not n or c != cuts[n - 1]]
 
     def below(a: int, b: int) -> Column:
         """How many cuts lie under the value, given that it is a to b of them."""
         if a == b:
             return F.lit(a)
         mid = (a + b) // 2
-        return F.when(first <= F.lit(cuts[mid]), below(a, mid)).otherwise(below(mid + 1, b))
+        return F.when(first <= cuts[mid], below(a, mid)).otherwise(below(mid + 1, b))
 
-    bucket = F.when(first.isNull(), F.lit(0)).otherwise(below(0, len(cuts)))
+    bucket = below(0, len(cuts))
     dealt = df.withColumn("_bucket", bucket)
     sizes = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*by))
     out = dealt.withColumn("_own", own).join(F.broadcast(before.drop("_size")), "_bucket")
     return out.select(*df.columns, (F.col("_before") + F.col("_own")).alias(name))
 

@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import OptimisticConflict, StaleWrite, WriteRejected
-from ..model import TPH, Model
+from ..functions import documents as D
+from ..model import TPH, Model, ValueObject
+from ..sources.catalog import stored
 from ..types import INFINITY, conforms, instant, literal
 from .temporal import is_open
 
@@ -51,8 +53,7 @@ class Writer:
         documents = {v.name: v for v in m.value_objects(name)}
         for k, v in values.items():
             if k in documents:
-                if v is None and not documents[k].nullable:
-                    raise WriteRejected("write-required-value-object-missing", k)
+                _check(documents[k], v, k)
                 continue
             if k not in members:
                 family = {a.name for e in m.concretes(m.root(name).qualified) for a in m.attributes(e.qualified)}
@@ -72,11 +73,18 @@ class Writer:
                 if not a.nullable and not a.pk_generation and not a.optimistic_locking and values.get(a.name) is None:
                     raise WriteRejected("write-required-attribute-missing", a.name)
             for v in documents.values():
-                if not v.nullable and values.get(v.name) is None:
+                if not v.nullable and not v.many and values.get(v.name) is None:
                     raise WriteRejected("write-required-value-object-missing", v.name)
 
-    def _assigned(self, changes: DataFrame) -> list[str]:
-        return [c for c in changes.columns if c in self.columns and c not in self.key]
+    def _assigned(self, changes: DataFrame) -> dict[str, Column]:
+        """New values by column beside the row's old ones; a document takes up the members of the instruction's."""
+        document = self.model.root(self.name).document
+        names = [c for c in changes.columns if c in self.columns and c not in self.key]
+        return {c: D.merged(F.col(c), F.col(f"_v_{c}")) if c == document else F.col(f"_v_{c}") for c in names}
+
+    def _now(self) -> Column:
+        """Whether a row is known now; without transaction time each one is."""
+        return is_open(F.col(OUT)) if "transaction" in self.axes else F.lit(True)
 
     def _fill(self, new: DataFrame, extra: dict[str, Column]) -> DataFrame:
         own = dict(extra)
@@ -114,7 +122,7 @@ class Writer:
 
     def update(self, table: DataFrame, changes: DataFrame) -> DataFrame:
         df, _ = self._marked(table, changes, F.lit(True))
-        out = {c: F.when(F.col("_hit"), F.col(f"_v_{c}")).otherwise(F.col(c)) for c in self._assigned(changes) if c != self.version}
+        out = {c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in self._assigned(changes).items() if c != self.version}
         if self.version:
             out[self.version] = F.when(F.col("_hit"), F.col(self.version) + 1).otherwise(F.col(self.version))
         return df.select(*[out[c].alias(c) if c in out else F.col(c) for c in table.columns])
@@ -126,6 +134,8 @@ class Writer:
     def update_where(self, table: DataFrame, where: Column, assigned: Mapping[str, Column]) -> DataFrame:
         if self.model.entity(self.name).inheritance is not None:
             raise WriteRejected("subtype-write-set-based-unsupported", self.name)
+        if missing := [c for c in assigned if c not in table.columns]:
+            raise WriteRejected("unknown-member", f"{self.name}: {missing}")
         hit = F.coalesce(where, F.lit(False))
         out = {c: F.when(hit, v).otherwise(F.col(c)) for c, v in assigned.items()}
         if self.version:
@@ -143,22 +153,28 @@ class Writer:
         return table.unionByName(self._fill(new, {IN: instant(tx), OUT: instant(INFINITY)}))
 
     def _milestones(self, table: DataFrame, df: DataFrame, tx: dt.datetime, successors: list[tuple[Column, dict[str, Column]]]) -> DataFrame:
-        """Rows as they were; those hit are closed and followed by the successors whose condition holds."""
+        """Rows as they were; those hit are closed and followed by the successors whose condition holds.
+
+        Without transaction time there is nothing to close: successors take the place of what is hit.
+        """
 
         def row(values: dict[str, Column]) -> Column:
             return F.struct(*[values.get(c, F.col(c)).alias(c) for c in table.columns])
 
         version = {self.version: F.col(self.version) + 1} if self.version else {}
-        fresh = {IN: instant(tx), OUT: instant(INFINITY), **version}
-        closed = F.array(row({OUT: instant(tx)}))
-        parts = [F.when(when, F.array(row(values | fresh))).otherwise(F.filter(closed, lambda _: F.lit(False))) for when, values in successors]
+        kept = "transaction" in self.axes
+        fresh = {IN: instant(tx), OUT: instant(INFINITY), **version} if kept else version
+        closed = F.array(row({OUT: instant(tx)} if kept else {}))
+        none = F.filter(closed, lambda _: F.lit(False))
+        closed = closed if kept else none
+        parts = [F.when(when, F.array(row(values | fresh))).otherwise(none) for when, values in successors]
         rows = F.when(F.col("_hit"), F.concat(closed, *parts) if parts else closed).otherwise(F.array(row({})))
         return df.select(F.inline(rows))
 
     def tt_update(self, table: DataFrame, changes: DataFrame, tx: dt.datetime) -> DataFrame:
         """Close the current milestone and chain the next one."""
         df, _ = self._marked(table, changes, is_open(F.col(OUT)))
-        return self._milestones(table, df, tx, [(F.lit(True), {c: F.col(f"_v_{c}") for c in self._assigned(changes)})])
+        return self._milestones(table, df, tx, [(F.lit(True), self._assigned(changes))])
 
     def tt_terminate(self, table: DataFrame, keys: DataFrame, tx: dt.datetime) -> DataFrame:
         df, _ = self._marked(table, keys, is_open(F.col(OUT)))
@@ -177,7 +193,9 @@ class Writer:
     def bt_insert(self, table: DataFrame, new: DataFrame, tx: dt.datetime, start: dt.datetime, end: dt.datetime | None = None) -> DataFrame:
         if end is not None and not start < end:
             raise WriteRejected("valid-window-inverted", f"{start} {end}")
-        bounds = {FROM: instant(start), THRU: instant(end or INFINITY), IN: instant(tx), OUT: instant(INFINITY)}
+        bounds = {FROM: instant(start), THRU: instant(end or INFINITY)}
+        if "transaction" in self.axes:
+            bounds |= {IN: instant(tx), OUT: instant(INFINITY)}
         return table.unionByName(self._fill(new, bounds))
 
     def _split(
@@ -206,9 +224,9 @@ class Writer:
         inside = (F.col(FROM) <= a) & (F.col(THRU) > a)
         if end is not None:
             inside = inside & (F.col(THRU) >= instant(end))
-        df, _ = self._marked(table, changes, is_open(F.col(OUT)) & inside)
+        df, _ = self._marked(table, changes, self._now() & inside)
         b = instant(end) if end is not None else F.col(THRU)
-        middle = {c: F.col(f"_v_{c}") for c in self._assigned(changes)} if assign else None
+        middle = self._assigned(changes) if assign else None
         return self._split(table, df, tx, a, b, middle)
 
     def bt_update(self, table: DataFrame, changes: DataFrame, tx: dt.datetime, start: dt.datetime) -> DataFrame:
@@ -229,7 +247,7 @@ class Writer:
     ) -> DataFrame:
         """A window over every current rectangle that meets a predicate, clipped to each; no values terminate."""
         stop = instant(end or INFINITY)
-        over = is_open(F.col(OUT)) & (F.col(FROM) < stop) & (F.col(THRU) > instant(start))
+        over = self._now() & (F.col(FROM) < stop) & (F.col(THRU) > instant(start))
         df = table.withColumn("_hit", F.coalesce(where, F.lit(False)) & over)
         a, b = F.greatest(F.col(FROM), instant(start)), F.least(F.col(THRU), stop)
         return self._split(table, df, tx, a, b, dict(assigned) if assigned is not None else None)
@@ -238,7 +256,7 @@ class Writer:
 
     def unmatched(self, table: DataFrame, changes: DataFrame, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
         """Instructions that apply to no row of the table."""
-        applies = is_open(F.col(OUT)) if "transaction" in self.axes else F.lit(True)
+        applies = self._now()
         if start is not None:
             applies = applies & (F.col(FROM) <= instant(start)) & (F.col(THRU) > instant(start))
             applies = applies & (F.col(THRU) >= instant(end)) if end is not None else applies
@@ -273,5 +291,37 @@ def chained(events: DataFrame, key: list[str], at: str) -> DataFrame:
 
 
 def assigned(model: Model, name: str, values: Mapping[str, Any]) -> dict[str, Column]:
-    """Literals of a set of values, by column."""
-    return {a.column: literal(values[a.name], a.type) for a in model.attributes(name) if a.name in values}
+    """New values by column: literals, composites as JSON, and the document with its members set."""
+    kinds = {a.column: a.type for a in model.attributes(name)}
+    document = model.root(name).document
+    out = {}
+    for c, v in stored(model, name, dict(values)).items():
+        out[c] = D.merged(F.col(c), F.lit(v)) if c == document else literal(v, kinds.get(c, "string"))
+    return out
+
+
+def _check(v: ValueObject, value: Any, path: str, element: bool = False) -> None:
+    """Reject a composite that does not fit its declaration, at any depth."""
+    if v.many and not element:
+        if value is not None and not isinstance(value, (list, tuple)):
+            raise WriteRejected("write-value-type-mismatch", f"{path}: {value!r}")
+        for n, x in enumerate(value or ()):
+            _check(v, x, f"{path}[{n}]", True)
+        return
+    if value is None:
+        if not v.nullable or element:
+            raise WriteRejected("write-required-value-object-missing", path)
+        return
+    if not isinstance(value, dict):
+        raise WriteRejected("write-value-type-mismatch", f"{path}: {value!r}")
+    if unknown := set(value) - {m.name for m in v.members}:
+        raise WriteRejected("unknown-member", f"{path}: {sorted(unknown)}")
+    for m in v.members:
+        at = f"{path}.{m.name}"
+        if isinstance(m, ValueObject):
+            _check(m, value.get(m.name), at)
+        elif value.get(m.name) is None:
+            if not m.nullable:
+                raise WriteRejected("write-required-attribute-missing", at)
+        elif not conforms(value[m.name], m.type) or (m.max_length and len(value[m.name]) > m.max_length):
+            raise WriteRejected("write-value-type-mismatch", f"{at}: {value[m.name]!r}")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..expr import All, And, Group, Not, Predicate, Ref, Related
+from ..expr import All, And, Group, Narrow, Not, Or, Predicate, Ref, Related
 from ..functions import documents as D
 from ..model import TPCS, TPH, Attribute, Model, SortKey, ValueObject
 from ..operators import temporal
@@ -35,23 +35,38 @@ class Position:
         self.compiler, self.alias, self.name, self.active, self.chosen = compiler, alias, name, active, chosen
         self.df = df.alias(alias)
         self.types = {f.name: f.dataType for f in df.schema}
+        #: whether a predicate or limit chose the rows, so that related rows are looked up by their keys
+        self.restricted = False
+        #: documents that are parsed once for a whole predicate, by column
+        self.parsed: dict[str, Column] = {}
 
     def col(self, column: str) -> Column:
         return F.col(f"{self.alias}.`{column}`")
 
+    def variant(self, column: str) -> Column:
+        return self.parsed[column] if column in self.parsed else D.variant(self.col(column))
+
+    def _declaring(self, member: Attribute | ValueObject) -> set[str]:
+        """The active concretes that have just this member: another variant's may share its path."""
+        m = self.compiler.model
+        return {c for c in self.active if member in (*m.attributes(c), *m.value_objects(c))}
+
     def attribute(self, a: Attribute) -> Column:
         root = self.compiler.model.root(self.name)
         if root.document and a.column not in self.types:
-            return D.leaf(D.variant(self.col(root.document)), (a.name,), a.type)
+            leaf = D.leaf(self.variant(root.document), (a.name,), a.type)
+            own = self._declaring(a)
+            return leaf if own == self.active else F.when(self.is_one_of(own), leaf)
         return self.col(a.column)
 
     def document(self, v: ValueObject) -> JsonDoc | NativeDoc:
         root = self.compiler.model.root(self.name)
         if root.document and v.column not in self.types:
-            return JsonDoc(D.variant(self.col(root.document)), (v.name,))
+            doc, own = self.variant(root.document), self._declaring(v)
+            return JsonDoc(doc if own == self.active else F.when(self.is_one_of(own), doc), (v.name,))
         kind = self.types[v.column]
         if isinstance(kind, T.StringType):
-            return JsonDoc(D.variant(self.col(v.column)))
+            return JsonDoc(self.variant(v.column))
         return JsonDoc(self.col(v.column)) if isinstance(kind, T.VariantType) else NativeDoc(self.col(v.column))
 
     def member(self, ref: Ref) -> Attribute | ValueObject:
@@ -94,10 +109,55 @@ class Position:
         found = child.df.where(other == own.outer()).exists()
         return ~found if p.negated else found
 
+    def _texts(self, p: Predicate) -> list[str]:
+        """The columns of JSON text that a predicate reads, once for each place that does."""
+        if isinstance(p, (And, Or)):
+            return [c for x in p.operands for c in self._texts(x)]
+        if isinstance(p, (Not, Group, Narrow)):
+            return self._texts(p.operand)
+        if isinstance(p, Related) or not hasattr(p, "ref"):
+            return []
+        member, document = self.member(p.ref), self.compiler.model.root(self.name).document
+        if document and member.column not in self.types:
+            return [document]
+        return [member.column] if isinstance(member, ValueObject) and isinstance(self.types[member.column], T.StringType) else []
+
+    def _once(self, parts: list[Predicate]) -> Column:
+        """All parts as one condition for which each document is parsed once."""
+        if not parts:
+            return F.lit(True)
+        texts = [c for p in parts for c in self._texts(p)]
+        twice = sorted({c for c in texts if texts.count(c) > 1})
+
+        def bound(left: list[str]) -> Column:
+            if not left:
+                return reduce(lambda a, b: a & b, map(self.lowering().lower, parts))
+
+            def body(doc: Column) -> Column:
+                self.parsed[left[0]] = doc
+                try:
+                    return F.coalesce(bound(left[1:]), F.lit(False))
+                finally:
+                    del self.parsed[left[0]]
+
+            return F.exists(F.array(D.variant(self.col(left[0]))), body)
+
+        return bound(twice)
+
     def filtered(self, p: Predicate) -> DataFrame:
-        """Conjuncts one by one: existence tests become semi- and anti-joins, the rest plain filters."""
+        """Conjuncts one by one: existence tests become semi- and anti-joins, the rest plain filters.
+
+        Conjuncts that read a document are one filter, which parses it once.
+        """
         df = self.df
-        for part in _conjuncts(p):
+        parts = _conjuncts(p)
+        nested = [x for x in parts if self._texts(x) and not _related(x)]
+        parts = [x for x in parts if x not in nested]
+        if len(nested) > 1 or len({*(c for x in nested for c in self._texts(x))}) < sum(len(self._texts(x)) for x in nested):
+            df = df.where(self._once(nested))
+        else:
+            parts = [*nested, *parts]
+        for part in parts:
             flip = False
             while isinstance(part, (Group, Not)) and isinstance(_inner(part), Related):
                 flip ^= isinstance(part, Not)
@@ -110,6 +170,13 @@ class Position:
         return df
 
 
+def _related(p: Predicate) -> bool:
+    """Whether an existence test over a relationship stands anywhere in a predicate."""
+    if isinstance(p, (And, Or)):
+        return any(map(_related, p.operands))
+    return isinstance(p, Related) or (isinstance(p, (Not, Group, Narrow)) and _related(p.operand))
+
+
 def _inner(p: Predicate) -> Predicate:
     while isinstance(p, (Group, Not)):
         p = p.operand
@@ -185,9 +252,14 @@ class Compiler:
         chosen = temporal.effective(self.model.axes(q.target), dict(q.temporal))
         at = self.position(q.target, active, chosen)
         at.df = at.filtered(q.predicate)
-        if q.sort:
-            keys = [(self.model.attribute(sorted(active)[0], k.attribute), k) for k in q.sort]
-            at.df = at.df.orderBy(*[sort_column(at.attribute(a), k) for a, k in keys])
+        at.restricted = not isinstance(q.predicate, All) or q.top is not None
+        keys = [(self.model.attribute(sorted(active)[0], k.attribute), k) for k in q.sort]
+        order = [sort_column(at.attribute(a), k) for a, k in keys]
+        if q.top is not None:
+            # a total order: the same rows whenever the plan is run, also where keys tie
+            order += [at.col(c) for c in self.model.physical_key(q.target) if c in at.types]
+        if order:
+            at.df = at.df.orderBy(*order)
         if q.top is not None:
             at.df = at.df.limit(q.top)
         return at

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..errors import WriteRejected
 from ..model import Model
 from ..operators.writes import Writer
-from ..sources.catalog import Catalog, from_rows
+from ..sources.catalog import Catalog, from_rows, stored
 
 INSERT, UPDATE, DELETE = "insert", "update", "delete"
 
@@ -126,8 +126,7 @@ class UnitOfWork:
         pk = self.model.primary_key(entity)
         values = [dict(zip([a.name for a in pk], i.key, strict=True)) | dict(i.values) for i in rows]
         full = from_rows(self.spark, self.model, entity, values)
-        members = {a.name: a.column for a in self.model.attributes(entity)} | {v.name: v.column for v in self.model.value_objects(entity)}
-        df = full.select(*[members[n] for n in values[0]])
+        df = full.select(*stored(self.model, entity, values[0]))
         if rows[0].observed is not None:
             # the gate stands beside the key it belongs to
             kind = T.TimestampNTZType() if self.model.axes(entity) else T.IntegerType()
@@ -137,16 +136,25 @@ class UnitOfWork:
             df = df.join(gates, [a.column for a in pk])
         return df
 
-    def apply(self, now: Callable[[], dt.datetime], check: bool = True) -> dict[str, DataFrame]:
+    def apply(
+        self, now: Callable[[], dt.datetime], check: bool = True, part: Callable[[str, DataFrame], DataFrame] | None = None
+    ) -> dict[str, DataFrame]:
         """Table name to its new rows; tables that nothing touches are left out.
 
         The transaction instant is asked for only if a temporal write is left.
+        ``part`` gives the rows of a table that instructions for some keys need;
+        else that is the whole table.
         """
         tables: dict[str, DataFrame] = {}
         tx: dt.datetime | None = None
-        for verb, entity, rows in batches(self.model, coalesced(self.buffer)):
-            w, df, table = Writer(self.model, entity), self._frame(entity, rows), self.model.table(entity)
-            at = tables[table] if table in tables else self.catalog.frame(table)
+        work = [(verb, entity, rows, self._frame(entity, rows)) for verb, entity, rows in batches(self.model, coalesced(self.buffer))]
+        needed: dict[str, DataFrame] = {}
+        for _, entity, _, df in work:
+            table, keys = self.model.table(entity), df.select(*[a.column for a in self.model.primary_key(entity)])
+            needed[table] = needed[table].unionByName(keys) if table in needed else keys
+        for verb, entity, rows, df in work:
+            w, table = Writer(self.model, entity), self.model.table(entity)
+            at = tables[table] if table in tables else part(table, needed[table]) if part else self.catalog.frame(table)
             axes, (start, until) = w.axes, rows[0].window
             if axes and tx is None:
                 tx = now()

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..model import Model
+from ..types import document_value
 
 
 class Catalog:
     """Lazy DataFrames for table names; nothing is read until a query runs."""
 
-    def __init__(self, tables: Mapping[str, DataFrame | Callable[[], DataFrame]]) -> None:
+    def __init__(self, tables: Mapping[str, DataFrame | Callable[[], DataFrame]], buckets: Mapping[str, Any] | None = None) -> None:
         self._tables = dict(tables)
+        #: tables that a store keeps in buckets and that nothing replaced
+        self.buckets = dict(buckets or {})
 
     @staticmethod
     def parquet(spark: SparkSession, folder: str, names: list[str]) -> Catalog:
@@ -37,7 +42,7 @@ class Catalog:
         return made
 
     def with_table(self, name: str, df: DataFrame | Callable[[], DataFrame]) -> Catalog:
-        return Catalog({**self._tables, name: df})
+        return Catalog({**self._tables, name: df}, self.buckets)
 
     def check(self, model: Model, name: str) -> None:
         """Assert that a table has the columns and types that its entity declares; value objects may be native."""
@@ -50,11 +55,32 @@ class Catalog:
                 raise TypeError(f"{name}.{column}: declared {kind.simpleString()}, table has {got}")
 
 
+def stored(model: Model, name: str, row: dict[str, Any]) -> dict[str, Any]:
+    """A row keyed by member or column name as values by column: composites as JSON, members of a document in it.
+
+    A document or composite that is text already is taken as its JSON.
+    """
+    by_name = {a.name: a.column for a in model.attributes(name)} | {v.name: v.column for v in model.value_objects(name)}
+    composites = {v.name: v for v in model.value_objects(name)}
+    resident, document = model.resident(name), {}
+    out: dict[str, Any] = {}
+    for k, v in row.items():
+        made = composites[k].encoded(v) if k in composites and not isinstance(v, str) else v
+        if k in resident:
+            document[k] = made if k in composites else document_value(v, resident[k].type)
+        elif k in composites and not isinstance(v, str) and v is not None:
+            out[by_name[k]] = json.dumps(made)
+        else:
+            out[by_name.get(k, k)] = v
+    if document:
+        out[model.root(name).document] = json.dumps(document)
+    return out
+
+
 def from_rows(spark: SparkSession, model: Model, name: str, rows: list[dict]) -> DataFrame:
     """Rows keyed by attribute or column name, as the entity's table."""
     schema = model.schema(name)
-    by_name = {a.name: a.column for a in model.attributes(name)} | {v.name: v.column for v in model.value_objects(name)}
-    keyed = [{by_name.get(k, k): v for k, v in r.items()} for r in rows]
+    keyed = [stored(model, name, r) for r in rows]
     unknown = {k for r in keyed for k in r} - set(schema.names)
     if unknown:
         raise KeyError(f"{name} has no column {sorted(unknown)}")

@@ -104,6 +104,21 @@ def literal(value: Any, name: str) -> Column:
     return F.lit(value).cast(spark_type(name))
 
 
+def document_value(value: Any, name: str) -> Any:
+    """A value as it stands in a JSON document: numbers and booleans as such, all else as its canonical text."""
+    if value is None or name in ("boolean", "int32", "int64", "float32", "float64", "string"):
+        return value
+    if name.startswith("decimal"):
+        return format(decimal.Decimal(value), "f")
+    if name == "bytes":
+        return bytes(value).hex()
+    if name == "uuid":
+        return str(uuid.UUID(str(value)))
+    if name == "timestamp":
+        return utc(value).isoformat(timespec="microseconds") + "Z"
+    return value.isoformat()
+
+
 def instant(value: dt.datetime) -> Column:
     return literal(value, "timestamp")
 
