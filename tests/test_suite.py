@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from tidemark import suite
+from tidemark import suite, suite_writes
 
 duckdb = pytest.importorskip("duckdb")
 FOLDER = "/root/testdata/sf0.001"
@@ -26,10 +26,14 @@ def _plain(v):
     return str(v)
 
 
-@pytest.mark.parametrize("name", sorted(suite.queries()))
+QUERIES = suite.queries() | suite_writes.queries()
+SQL = suite.oracle_sql() | suite_writes.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = suite.queries()[name](spark, FOLDER)
-    want = con.sql(suite.oracle_sql()[name])
+    df = QUERIES[name](spark, FOLDER)
+    want = con.sql(SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     at = [df.columns.index(c) for c in want.columns]
     got = sorted(tuple(_plain(r[i]) for i in at) for r in df.collect())

@@ -4,35 +4,47 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import CardinalityCorruption, OptimisticConflict, WriteRejected
-from .expr import Predicate
+from .expr import Predicate, from_dict
+from .graph import Node, graph
 from .model import Model, ValueObject
+from .operators.fetch import flat
 from .operators.writes import Writer, assigned
 from .plans.compile import Compiler
 from .plans.unitofwork import DELETE, INSERT, UPDATE, UnitOfWork
 from .query import AggregateQuery, History, Query
 from .sources.catalog import Catalog
 from .sources.store import Store
-from .types import utc
+from .types import decoded, utc, wired
 
 
 class Result:
     """A lazy result; nothing runs until it is asked for rows."""
 
-    def __init__(self, df: DataFrame) -> None:
-        self.df = df
+    def __init__(self, df: DataFrame, model: Model | None = None, query: Query | None = None) -> None:
+        self.df, self.model, self.query = df, model, query
 
     def results(self) -> list[Row]:
         return self.df.collect()
 
-    def pages(self):
-        """Rows one partition at a time."""
-        return self.df.toLocalIterator()
+    def pages(self, size: int | None = None):
+        """Rows one partition at a time, one by one or in lists of ``size``."""
+        rows = self.df.toLocalIterator()
+        return rows if size is None else iter(lambda: list(islice(rows, size)), [])
+
+    def graph(self) -> list[Node]:
+        """Roots as nodes, one for each identity; see ``tidemark.graph`` for what can be asked of them."""
+        return graph(self.model, self.query, self.results())
+
+    def related(self, relationship: str) -> Result:
+        """Rows of a relationship that was not fetched, read at the same coordinates, as pairs of parent and child."""
+        return Result(self._flat(relationship))
 
     def result_or_none(self) -> Row | None:
         rows = self.df.limit(2).collect()
@@ -47,8 +59,9 @@ class Result:
         return row
 
     def wire(self) -> DataFrame:
-        """Each row as one JSON text."""
-        return self.df.select(F.to_json(F.struct("*")).alias("json"))
+        """Each row as one JSON text, leaves in their canonical forms."""
+        row = [wired(self.df[f"`{f.name}`"], f.dataType).alias(f.name) for f in self.df.schema]
+        return self.df.select(F.to_json(F.struct(*row)).alias("json"))
 
 
 class Reads:
@@ -60,7 +73,9 @@ class Reads:
 
     def find(self, q: Query) -> Result:
         c = self._compiler()
-        return Result(c.fetch(q) if q.includes else c.rows(q))
+        out = Result(c.fetch(q) if q.includes else c.rows(q), self.model, q)
+        out._flat = lambda relationship: flat(c, q, relationship)
+        return out
 
     def read_rows(self, q: Query) -> Result:
         """Flat rows without value objects."""
@@ -78,7 +93,9 @@ class Reads:
         return Result(self._compiler().aggregate(q))
 
     def wire(self, body: dict[str, Any]) -> DataFrame:
-        """A query in dictionary form; rows as JSON."""
+        """A query in dictionary form, of rows or of aggregates; rows as JSON."""
+        if "aggregates" in body:
+            return self.aggregate(AggregateQuery.from_dict(self.model, body)).wire()
         return self.find(Query.from_dict(self.model, body)).wire()
 
 
@@ -154,6 +171,39 @@ class Transaction(Reads):
     def terminate_until(self, entity: str, key: tuple, start: dt.datetime, until: dt.datetime, observed: Any = None) -> None:
         self._work.add(DELETE, entity, key, None, start, until, observed)
 
+    # the same in dictionary form
+
+    def write(self, body: dict[str, Any]) -> None:
+        """A write instruction: ``verb`` and ``entity`` with ``rows``, or with ``where`` and ``values``.
+
+        A row holds the key by attribute name, the values, and ``observed`` where
+        it is gated; ``validFrom`` and ``validUntil`` bound the valid time. On a
+        temporal entity an instruction has one row.
+        """
+        verb, name = body["verb"], self.model.entity(body["entity"]).qualified
+        start, until = (decoded(body[k], "timestamp") if body.get(k) else None for k in ("validFrom", "validUntil"))
+        if "where" in body:
+            values = None if verb in ("delete", "terminate") else self._decoded(name, body["values"])
+            return self._where(name, from_dict(self.model, body["where"]), values, start, until)
+        if len(body["rows"]) > 1 and self.model.axes(name):
+            raise WriteRejected("temporal-keyed-write-multi-row", name)
+        for row in body["rows"]:
+            values = self._decoded(name, {k: v for k, v in row.items() if k != "observed"})
+            key = tuple(values.pop(a.name) for a in self.model.primary_key(name))
+            kind = {"insert": INSERT, "update": UPDATE, "delete": DELETE, "terminate": DELETE}[verb]
+            if verb == "delete" and self.model.axes(name):
+                raise WriteRejected("temporal-entity-has-no-delete", name)
+            observed = row.get("observed")
+            if observed is not None and self.model.axes(name):
+                observed = decoded(observed, "timestamp")
+            self._work.add(kind, name, key, values if kind != DELETE else None, start, until, observed)
+        return None
+
+    def _decoded(self, name: str, row: dict[str, Any]) -> dict[str, Any]:
+        kinds = {a.name: a.type for a in self.model.attributes(name)}
+        composites = {v.name: v for v in self.model.value_objects(name)}
+        return {k: composites[k].decoded(v) if k in composites else decoded(v, kinds[k]) if k in kinds else v for k, v in row.items()}
+
     # predicate verbs
 
     def _where(self, entity: str, p: Predicate, values: dict[str, Any] | None, start=None, until=None) -> None:

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import types as T
 
 from .errors import ModelRejected, QueryRejected
-from .types import document_value, spark_type
+from .types import decoded, document_value, spark_type
 
 VALID, TRANSACTION = "valid", "transaction"
 #: The fixed interval columns of each axis.
@@ -69,6 +69,18 @@ class ValueObject:
             return [self._encoded(x) for x in value or ()]
         return None if value is None else self._encoded(value)
 
+    def decoded(self, value: Any) -> Any:
+        """The composite of a JSON document's values, leaves by their declared types; of another shape as it is."""
+        if isinstance(value, list):
+            return [self.decoded(x) for x in value]
+        if not isinstance(value, dict):
+            return value
+        own = {m.name: m for m in self.members}
+        return {
+            k: v if k not in own else own[k].decoded(v) if isinstance(own[k], ValueObject) else decoded(v, own[k].type)
+            for k, v in value.items()
+        }
+
     def _encoded(self, value: dict[str, Any]) -> dict[str, Any]:
         own = {m.name: m for m in self.members}
         return {k: own[k].encoded(v) if isinstance(own[k], ValueObject) else document_value(v, own[k].type) for k, v in value.items()}

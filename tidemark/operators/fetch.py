@@ -2,7 +2,7 @@
 
 A to-many view is an array, empty where nothing is related; a to-one view is a
 struct or null; a view whose guard leaves a root out is null. A hop that leads
-back over the one before it needs no join, since its key is known. Where roots
+back to the one parent it came from needs no join, since its key is known. Where roots
 are chosen by a predicate or limit, each level first keeps the rows whose parent
 is wanted (a semi-join on the parents' keys, broadcast by Spark where they are
 few), so only those are grouped. A parent with very many children has them in
@@ -62,7 +62,7 @@ def _attach(compiler: Compiler, at: Position, nodes: Nodes, came: tuple[str, Rel
         r = m.relationship(owner, name)
         view = f"{at.alias}\0{view_key(node.hop)}"
         own = at.attribute(m.attribute(owner, r.join[0]))
-        if came and not narrow and not node.below and m.is_inverse(came[0], came[1].name, name):
+        if came and not r.to_many and not narrow and not node.below and m.is_inverse(came[0], came[1].name, name):
             # the row was reached over the other side, so the key says it all
             df = df.withColumn(view, F.struct(own.alias(m.attribute(r.target, r.join[1]).column)))
             views.append(view)

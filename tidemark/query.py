@@ -166,3 +166,25 @@ class AggregateQuery:
     having: tuple[Having, ...] = ()
     sort: tuple[SortKey, ...] = ()
     top: int | None = None
+
+    def to_dict(self) -> dict[str, Any]:
+        return {
+            **self.source.to_dict(),
+            "aggregates": [{"function": a.function, "alias": a.alias, "attribute": a.attribute} for a in self.aggregates],
+            "groupBy": list(self.group_by),
+            "having": [{"name": h.name, "op": h.op, "value": h.value} for h in self.having],
+            "orderBy": [{"attribute": k.attribute, "descending": k.descending, "nullsFirst": k.nulls_first} for k in self.sort],
+            "limit": self.top,
+        }
+
+    @staticmethod
+    def from_dict(model, body: dict[str, Any]) -> AggregateQuery:
+        source = Query.from_dict(model, {k: v for k, v in body.items() if k not in ("orderBy", "limit")})
+        return AggregateQuery(
+            source,
+            tuple(Aggregate(a["function"], a["alias"], a.get("attribute")) for a in body["aggregates"]),
+            tuple(body.get("groupBy", ())),
+            tuple(Having(h["name"], h["op"], h.get("value")) for h in body.get("having", ())),
+            tuple(SortKey(k["attribute"], k.get("descending", False), k.get("nullsFirst", False)) for k in body.get("orderBy", ())),
+            body.get("limit"),
+        )

@@ -37,14 +37,20 @@ def orders_tree(spark: SparkSession, n: int, items: int, statuses: int) -> tuple
     return orders, lines, marks
 
 
-def milestones(spark: SparkSession, keys: int, each: int, days: int = 1) -> DataFrame:
-    """(id, val, in_z, out_z): ``each`` chained milestones for each key, the last open."""
+def milestones(spark: SparkSession, keys: int, each: int, days: int = 1, document: str | None = None) -> DataFrame:
+    """(id, val, in_z, out_z): ``each`` chained milestones for each key, the last open.
+
+    With ``document`` the value stands in a column of JSON of that name instead.
+    """
     start = F.expr(f"timestamp_ntz'2024-01-01' + make_dt_interval(cast(id % {each} * {days} as int))")
     end = F.expr(f"timestamp_ntz'2024-01-01' + make_dt_interval(cast((id % {each} + 1) * {days} as int))")
     last = F.col("id") % each == each - 1
+    val = (F.col("id") % each * 10).cast("decimal(18,2)")
+    if document:
+        val = F.to_json(F.struct(val.cast("string").alias("val"), F.concat(F.lit("note-"), F.col("id") % each).alias("note")))
     return spark.range(keys * each).select(
         (F.floor(F.col("id") / each) + 1).alias("key"),
-        (F.col("id") % each * 10).cast("decimal(18,2)").alias("val"),
+        val.alias(document or "val"),
         start.alias("in_z"),
         F.when(last, instant(INFINITY)).otherwise(end).alias("out_z"),
     ).withColumnRenamed("key", "id")

@@ -119,10 +119,38 @@ def document_value(value: Any, name: str) -> Any:
     return value.isoformat()
 
 
+def decoded(value: Any, name: str) -> Any:
+    """The value of a canonical text, number or boolean; what is no text of the type is passed on for ``conforms`` to reject."""
+    if not isinstance(value, str) or name in ("string", "uuid"):
+        return value
+    try:
+        if name.startswith("decimal"):
+            return decimal.Decimal(value)
+        if name == "bytes":
+            return bytes.fromhex(value)
+        if name == "timestamp":
+            return utc(dt.datetime.fromisoformat(value))
+        kind = {"date": dt.date, "time": dt.time}.get(name)
+        return kind.fromisoformat(value) if kind else value
+    except (ValueError, decimal.InvalidOperation):
+        return value
+
+
 def instant(value: dt.datetime) -> Column:
     return literal(value, "timestamp")
 
 
+def wired(value: Column, kind: T.DataType) -> Column:
+    """A value of any shape with every leaf that JSON has no form for as its canonical text."""
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*[wired(value.getField(f.name), f.dataType).alias(f.name) for f in kind])
+        return F.when(value.isNotNull(), inner)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: wired(x, kind.elementType))
+    names = {T.BinaryType: "bytes", T.TimestampNTZType: "timestamp", T.DecimalType: "decimal", T.DateType: "date", T.TimeType: "time"}
+    return wire(value, names[type(kind)]) if type(kind) in names else value
+
+
 def wire(value: Column, name: str) -> Column:
     """The canonical text of a value: lowercase hex bytes, plain decimals, ISO dates, UTC instants with Z."""
     if name == "bytes":
