@@ -73,3 +73,29 @@ def test_drop_decides_by_row(spark):
     got = [(r.doc_id, r.text) for r in drop_exact_copies(docs, one_of_repeated=True).collect()]
     assert sorted(map(key, got)) == [(0, "twice"), (1, "only here"), (2, "copied text"), (3, "twice"), (4, "alone")]
     assert sorted(r.doc_id or 0 for r in drop_exact_copies(docs).collect()) == [0, 1, 2, 3, 3, 3, 4]
+
+
+def test_names_are_the_same_under_any_layout(spark):
+    """Names are ranks of the distinct blocks, whatever the files and partitions are, also of blocks that are frequent."""
+    from tidemark.llm.exact_dedup import name_contents
+    from tidemark.llm.scratch import Scratch
+
+    texts = ["hot"] * 200 + [f"t{i % 70}" for i in range(150)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    seen = []
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows if parts == 1 else rows[::-1], "rid long, block string").repartition(parts)
+        got = name_contents(df, ["block"], Scratch(spark, "names"), "block", len(rows)).collect()
+        assert len(got) == len(rows)
+        seen.append({texts[r.rid]: r.name for r in got})
+        assert sorted(set(r.name for r in got)) == list(range(71)) and len({(texts[r.rid], r.name) for r in got}) == 71
+    assert seen[0] == seen[1]
+
+
+def test_blocks_of_one_hash_are_told_apart(spark, monkeypatch):
+    from tidemark.llm import exact_dedup as E
+
+    real = F.xxhash64
+    monkeypatch.setattr(E.F, "xxhash64", lambda *c: real(*c) % 3)
+    rows = [(i, f"text {i % 9}" * (1 + i % 4)) for i in range(120)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows, block_chars=9)

@@ -1,15 +1,17 @@
 """Exact deduplication by deterministic block naming (DataFrame operations only).
 
-Every text is cut into fixed-size blocks. The distinct blocks are sorted and
-each gets one integer name; then adjacent pairs of names are named in the same
-way, level by level, until one name is left for each text. Two texts share
-their (level, name) exactly if they are equal: names stand for contents, not
-for hashes of contents, so nothing can collide.
+Every text is cut into fixed-size blocks. The distinct blocks are sorted, by hash
+and then by content, and each gets its rank as an integer name; then adjacent
+pairs of names are named in the same way, level by level, until one name is left
+for each text. Two texts share their (level, name) exactly if they are equal:
+names stand for contents, not for hashes of contents, so nothing can collide;
+and a name depends on the blocks alone, not on files, partitions or order of rows.
 
 Scale. A block crosses the network once. Blocks that many texts share are found
 beforehand by counting 8-byte hashes (pre-aggregated on the map side); their
-occurrences are dealt out over salts, named per salt, and the few per-salt names
-are then merged, so no task receives a group of copies whole. The table of
+occurrences are dealt out over salts, sorted per salt, and the few per-salt places
+are then made one, so no task receives a group of copies whole. Ranks are numbered
+in ranges of hashes, and only numbers move for that. The table of
 frequent hashes has at most ``4 * shuffle partitions`` rows, since each stands
 for more than that share of all blocks; that is the bound of its broadcast.
 """
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .scratch import Scratch
+from .skew import salted_join
 
 BLOCK_CHARS = 4096
 
@@ -57,32 +60,44 @@ def name_contents(df: DataFrame, content: list[str], scratch: Scratch, tag: str,
     frequent = counts.where(F.col("_n") > share).select(
         "_h", F.ceil(F.col("_n") / share).cast("int").alias("_salts")
     )
+    df = df.withColumn("_row", F.xxhash64(*[c for c in df.columns if c not in content]))
     dealt = (
-        hashed.withColumn("_occ", F.monotonically_increasing_id())
+        df.withColumn("_h", F.xxhash64(*content))
         .join(F.broadcast(frequent), "_h", "left")
         .withColumn(
             "_salt",
-            F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64("_occ"), F.col("_salts"))).otherwise(F.lit(0)),
+            F.when(F.col("_salts").isNotNull(), F.pmod("_row", F.col("_salts"))).otherwise(F.lit(0)),
         )
     )
-    group = Window.partitionBy(*content, "_salt")
-    kept = [c for c in df.columns if c not in content]
-    named = dealt.withColumn("_name", F.min("_occ").over(group))
-    # one copy of a frequent content for each salt, to merge the salts' names
-    head = (F.col("_occ") == F.col("_name")) & F.col("_salts").isNotNull()
-    named = named.select(
-        *kept, "_name", *[F.when(head, F.col(c)).alias(f"_c{i}") for i, c in enumerate(content)], head.alias("_head")
-    )
-    named = scratch.save(named, f"{tag}-names")
-    heads = named.where("_head").select("_name", *[f"_c{i}" for i in range(len(content))])
-    merged = heads.groupBy(*[f"_c{i}" for i in range(len(content))]).agg(
-        F.min("_name").alias("name"), F.collect_list("_name").alias("_names")
-    )
-    # as many rows as frequent contents have salts: at most 8 * shuffle partitions
-    merged = merged.select("name", F.explode("_names").alias("_name"))
-    return named.select(*kept, "_name").join(F.broadcast(merged), "_name", "left").select(
-        *kept, F.coalesce("name", "_name").alias("name")
+    kept, named = [c for c in df.columns if c not in content], [f"_c{i}" for i in range(len(content))]
+    # blocks sorted by hash and content: the place among different blocks of one hash, which is nearly always the first
+    place = F.dense_rank().over(Window.partitionBy("_h", "_salt").orderBy(*content))
+    first = F.row_number().over(Window.partitionBy("_h", "_salt").orderBy(*content, "_row"))
+    before = F.lag(F.struct(*content)).over(Window.partitionBy("_h", "_salt").orderBy(*content, "_row"))
+    head = F.col("_salts").isNotNull() & ((first == 1) | ~before.eqNullSafe(F.struct(*content)))
+    placed = dealt.withColumns({"_place": place, "_head": head}).select(
+        *kept, "_h", "_salt", "_place", "_head", *[F.when(F.col("_head"), F.col(c)).alias(n) for n, c in zip(named, content, strict=True)]
     )
+    placed = scratch.save(placed, f"{tag}-places")
+    # a frequent hash is sorted salt by salt: its places are made one from a copy of each salt's blocks,
+    # as many rows as frequent blocks have salts, at most 8 * shuffle partitions
+    heads = placed.where("_head").select("_h", "_salt", "_place", *named)
+    same = F.dense_rank().over(Window.partitionBy("_h").orderBy(*named))
+    heads = heads.select("_h", "_salt", "_place", same.alias("_same"))
+    placed = placed.join(F.broadcast(heads), ["_h", "_salt", "_place"], "left")
+    placed = placed.select(*kept, "_h", F.coalesce("_same", "_place").alias("_place"))
+    # names are ranks in that order: within ranges of hashes, moved by what the ranges before hold
+    bits = max(1, 4 * _partitions(spark) - 1).bit_length()
+    blocks = placed.groupBy("_h", "_place").agg(F.count(F.lit(1)).alias("_n")).withColumn("_range", F.shiftright("_h", 64 - bits))
+    blocks = scratch.save(blocks, f"{tag}-blocks")
+    sizes = blocks.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    offset = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each range: their number is that of the partitions
+    sizes = sizes.select("_range", offset.alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy("_h", "_place"))
+    ranked = blocks.withColumn("_rank", rank).join(F.broadcast(sizes), "_range")
+    ranked = scratch.save(ranked.select("_h", "_place", "_n", (F.col("_offset") + F.col("_rank") - 1).alias("name")), f"{tag}-ranks")
+    return salted_join(placed, ranked, ["_h", "_place"], "_n", "_row").select(*[c for c in kept if c != "_row"], "name")
 
 
 def exact_groups(
