@@ -104,7 +104,30 @@ def test_nothing_to_learn(spark, nothing, awkward):
 
 def test_bounded_sample_of_labels(spark):
     docs, labels = corpus(spark)
-    model = T.train(docs, labels, max_labels=200, max_terms=50)
-    assert 0 < len(model.weight) <= 100
+    model = T.train(docs, labels, max_labels=200)
+    assert model.weight
     got = {r.id: r.score >= 0.5 for r in T.score(docs, model).collect()}
     assert sum(got[i] == (i % 6 == 0) for i in got) >= 0.9 * len(got)
+
+
+def test_whole_table_against_brute_force(trained):
+    """Every score from segments that are found by definition and the law of Karlin and Altschul."""
+    import math
+
+    docs, model = trained
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in T.score(docs, model).collect():
+        words = T.WORD.findall(texts[r.id].lower())
+        sums = [model.lam * s for s, _, _ in ruzzo_tompa([model.word_score(w) for w in words])]
+        base = math.log(model.k * len(words))
+        x = max(sums, default=0.0) - base + math.log(max(1, sum(v > base for v in sums)))
+        assert abs(r.score - 1 / (1 + math.exp(-model.slope * (x - model.cut)))) < 1e-6
+
+
+def test_long_text_takes_linear_time():
+    import time
+
+    model = T.Model({"bad": 0.3}, drift=0.5)
+    began = time.perf_counter()
+    n, found = model.segments("bad good " * 200_000)
+    assert n == 400_000 and len(found) == 200_000 and time.perf_counter() - began < 10

@@ -70,8 +70,9 @@ class Model:
         cache = {} if cache is None else cache
         if len(cache) > CACHE:
             cache.clear()
-        # each candidate: start, end, sum before its first word, sum after its last
-        stack: list[tuple[int, int, float, float]] = []
+        # each candidate: start, end, sum before its first word, sum after its last, and the place of the
+        # nearest one below whose first sum is less, so that the search never passes a candidate twice
+        stack: list[tuple[int, int, float, float, int]] = []
         total, n = 0.0, 0
         for m in WORD.finditer(text.lower()):
             n += 1
@@ -87,13 +88,13 @@ class Model:
             while True:
                 j = len(stack) - 1
                 while j >= 0 and stack[j][2] >= left:
-                    j -= 1
+                    j = stack[j][4]
                 if j < 0 or stack[j][3] >= right:
                     break
                 a, left = stack[j][0], stack[j][2]
                 del stack[j:]
-            stack.append((a, b, left, right))
-        return n, [(r - le, a, b) for a, b, le, r in stack]
+            stack.append((a, b, left, right, j))
+        return n, [(r - le, a, b) for a, b, le, r, _ in stack]
 
     def evidence(self, n: int, segments: list[tuple[float, int, int]]) -> float:
         """-ln E of the best segment, plus the logarithm of how many segments are significant."""
