@@ -53,3 +53,25 @@ def test_repeated_ids(spark, tmp_path):
         at = spark.read.parquet(f"{tmp_path}/stage{n}")
     want = [docs[0], docs[3], docs[4], docs[5], docs[7]]
     assert sorted((r.doc_id, r.text) for r in at.collect()) == sorted(want)
+
+
+def test_awkward_rows(spark, awkward, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing columns pass all stages, each with its defined result."""
+    awkward.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(3, 90)), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for n, (_, stage) in enumerate(C.STAGES):
+        out = stage(spark, at, str(tmp_path))
+        if n < 4:
+            assert out.columns == at.columns
+        out.write.parquet(f"{tmp_path}/stage{n}")
+        at = spark.read.parquet(f"{tmp_path}/stage{n}")
+        kept.append(sorted((r.doc_id is None, r.doc_id or 0) for r in at.select("doc_id").collect()))
+    real = [[i for null, i in k if not null] for k in kept]
+    # texts 0 to 3 are one, 3 twice, and 4 is near it; 5 and 6 are empty; 8 and 9 are one; 12 is 11 with a word more
+    assert real[0] == sorted([*range(17), 3])
+    assert real[1] == [3, 4, 6, 7, 9, 10, 11, 12, 13, 14, 15, 16]
+    assert real[2] == [3, 6, 7, 9, 10, 11, 13, 14, 15, 16]
+    assert real[3] == [i for i in real[2] if i != 13]
+    assert sorted(set(real[4])) == real[3] and all(sum(null for null, _ in k) == 2 for k in kept[:4])
