@@ -14,11 +14,12 @@ from .errors import CardinalityCorruption, OptimisticConflict, WriteRejected
 from .expr import Predicate, from_dict
 from .graph import Node, graph
 from .model import Model, ValueObject
+from .operators import temporal
 from .operators.fetch import flat
 from .operators.writes import Writer, assigned
 from .plans.compile import Compiler
 from .plans.unitofwork import DELETE, INSERT, UPDATE, UnitOfWork
-from .query import AggregateQuery, History, Query
+from .query import AggregateQuery, AsOf, History, Query
 from .sources.catalog import Catalog
 from .sources.store import Store
 from .types import decoded, utc, wired
@@ -38,6 +39,11 @@ class Result:
         rows = self.df.toLocalIterator()
         return rows if size is None else iter(lambda: list(islice(rows, size)), [])
 
+    def pin(self) -> dict[str, dt.datetime | None]:
+        """The coordinates that were asked for, by axis; None is the latest."""
+        chosen = temporal.effective(self.model.axes(self.query.target), dict(self.query.temporal))
+        return {a: s.at if isinstance(s, AsOf) else None for a, s in chosen.items()}
+
     def graph(self) -> list[Node]:
         """Roots as nodes, one for each identity; see ``tidemark.graph`` for what can be asked of them."""
         return graph(self.model, self.query, self.results())

@@ -1,4 +1,7 @@
-"""Predicates as an immutable tree, the references that build them, and their dictionary form."""
+"""Predicates as an immutable tree, the references that build them, and their dictionary form.
+
+Fixed values: the names of nodes in dictionary form are the spelling of the interchange form.
+"""
 
 from __future__ import annotations
 

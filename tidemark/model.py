@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from .errors import ModelRejected, QueryRejected
 from .types import decoded, document_value, spark_type
 
+#: Fixed values here and in the checks below: names of axes, temporalities, strategies, roles, cardinalities and rules.
 VALID, TRANSACTION = "valid", "transaction"
 #: The fixed interval columns of each axis.
 AXIS_COLUMNS = {VALID: ("from_z", "thru_z"), TRANSACTION: ("in_z", "out_z")}

@@ -1,4 +1,7 @@
-"""Rules that a query must keep; they are checked before any plan is built."""
+"""Rules that a query must keep; they are checked before any plan is built.
+
+Fixed values: the codes of the rules.
+"""
 
 from __future__ import annotations
 

@@ -23,10 +23,21 @@ def _relationship(x: dict[str, Any]) -> Relationship:
     return Relationship(**{**x, "order_by": keys, "join": join})
 
 
+def _parsed(text: str) -> dict[str, Any]:
+    try:
+        return json.loads(text)
+    except json.JSONDecodeError:
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("the model is no JSON, and YAML needs PyYAML") from e
+        return yaml.safe_load(text)
+
+
 def load(text: str) -> Model:
-    """A validated model from its JSON."""
+    """A validated model from its JSON or, where PyYAML is installed, its YAML."""
     entities = []
-    for x in json.loads(text)["entities"]:
+    for x in _parsed(text)["entities"]:
         entities.append(
             Entity(
                 **{

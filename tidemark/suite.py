@@ -509,15 +509,15 @@ def _write(name: str, verb: Callable[[DataFrame, DataFrame, Writer], DataFrame],
     _add(name, lambda s, sf: verb(*_account(s, sf)), sql)
 
 
-_write("write_insert", lambda t, c, w: w.insert(t, c.where("c_custkey % 10 = 0").select((F.col("c_custkey") + 1000000).alias("c_custkey"), F.lit(0.5).alias("c_acctbal"))),
-       f"SELECT * FROM {_ACC} UNION ALL SELECT c_custkey + 1000000, 0.5, 1 FROM customer WHERE c_custkey % 10 = 0")
+_write("write_insert", lambda t, c, w: w.insert(t, c.where("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") + 1000000).alias("c_custkey"), F.lit(0.5).alias("c_acctbal"))),
+       f"SELECT * FROM {_ACC} UNION ALL SELECT c_custkey + 1000000, 0.5, 1 FROM customer WHERE c_mktsegment = 'BUILDING'")
 _write("write_update", lambda t, c, w: w.update(t, c.where("c_nationkey = 3").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"))),
        "SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CAST(CASE WHEN c_nationkey = 3 THEN 2 ELSE 1 END AS INTEGER) AS version FROM customer")
 _write("write_delete", lambda t, c, w: w.delete(t, c.where("c_nationkey > 20").select("c_custkey")), f"SELECT * FROM {_ACC} WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey > 20)")
 _write("write_predicate_update", lambda t, c, w: w.update_where(t, F.col("c_acctbal") < 0, {"c_acctbal": F.lit(0.0)}), "SELECT c_custkey, greatest(c_acctbal, 0) AS c_acctbal, CAST(CASE WHEN c_acctbal < 0 THEN 2 ELSE 1 END AS INTEGER) AS version FROM customer")
 _write("write_predicate_delete", lambda t, c, w: w.delete_where(t, F.col("c_acctbal") < 0), f"SELECT * FROM {_ACC} WHERE c_acctbal >= 0")
-_write("write_version_gate", lambda t, c, w: w.update(t, c.where("c_custkey % 2 = 0").select("c_custkey", F.lit(7.0).alias("c_acctbal"), F.when(F.col("c_custkey") % 4 == 0, 1).otherwise(9).alias("observed_version"))),
-       "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 7.0 ELSE c_acctbal END AS c_acctbal, CAST(CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 1 END AS INTEGER) AS version FROM customer")
+_write("write_version_gate", lambda t, c, w: w.update(t, c.where("c_acctbal > 0").select("c_custkey", F.lit(7.0).alias("c_acctbal"), F.when(F.col("c_nationkey") < 12, 1).otherwise(9).alias("observed_version"))),
+       "SELECT c_custkey, CASE WHEN c_acctbal > 0 AND c_nationkey < 12 THEN 7.0 ELSE c_acctbal END AS c_acctbal, CAST(CASE WHEN c_acctbal > 0 AND c_nationkey < 12 THEN 2 ELSE 1 END AS INTEGER) AS version FROM customer")
 _write("write_conflicts", lambda t, c, w: w.unmatched(t, c.select((F.col("c_custkey") * 2).alias("c_custkey"), F.lit(7.0).alias("c_acctbal"))).select("c_custkey"), "SELECT c_custkey * 2 AS c_custkey FROM customer WHERE c_custkey * 2 NOT IN (SELECT c_custkey FROM customer)")
 _write("write_no_op", lambda t, c, w: changed_only(t, c.select("c_custkey", F.greatest("c_acctbal", F.lit(0.0)).alias("c_acctbal")), ["c_custkey"]), "SELECT c_custkey, 0.0::DOUBLE AS c_acctbal FROM customer WHERE c_acctbal < 0")
 
@@ -562,10 +562,10 @@ def _tt_write(name: str, verb: Callable[[DataFrame, Writer], DataFrame], sql: st
 _ST = "SELECT user_id, event_type, value, in_z, out_z FROM " + STATES + " s"
 _tt_write("tt_insert", lambda t, w: w.tt_insert(t, t.groupBy("user_id").agg(F.lit("new").alias("event_type"), F.lit(1.0).alias("value")).withColumn("user_id", F.col("user_id") + 100000), _TX),
           f"{_ST} UNION ALL SELECT DISTINCT user_id + 100000, 'new', 1.0, {_txs}, {_INF} FROM events")
-_tt_write("tt_update", lambda t, w: w.tt_update(t, t.select("user_id").distinct().where("user_id % 2 = 0").withColumn("value", F.lit(-1.0)), _TX),
-          f"SELECT user_id, event_type, value, in_z, CASE WHEN out_z = {_INF} AND user_id % 2 = 0 THEN {_txs} ELSE out_z END AS out_z FROM {STATES} s UNION ALL SELECT user_id, event_type, -1.0, {_txs}, {_INF} FROM {STATES} s WHERE out_z = {_INF} AND user_id % 2 = 0")
-_tt_write("tt_terminate", lambda t, w: w.tt_terminate(t, t.select("user_id").distinct().where("user_id % 3 = 0"), _TX),
-          f"SELECT user_id, event_type, value, in_z, CASE WHEN out_z = {_INF} AND user_id % 3 = 0 THEN {_txs} ELSE out_z END AS out_z FROM {STATES} s")
+_tt_write("tt_update", lambda t, w: w.tt_update(t, t.where("value > 60").select("user_id").distinct().withColumn("value", F.lit(-1.0)), _TX),
+          f"SELECT user_id, event_type, value, in_z, CASE WHEN out_z = {_INF} AND user_id IN (SELECT user_id FROM events WHERE value > 60) THEN {_txs} ELSE out_z END AS out_z FROM {STATES} s UNION ALL SELECT user_id, event_type, -1.0, {_txs}, {_INF} FROM {STATES} s WHERE out_z = {_INF} AND user_id IN (SELECT user_id FROM events WHERE value > 60)")
+_tt_write("tt_terminate", lambda t, w: w.tt_terminate(t, t.where("value < 30").select("user_id").distinct(), _TX),
+          f"SELECT user_id, event_type, value, in_z, CASE WHEN out_z = {_INF} AND user_id IN (SELECT user_id FROM events WHERE value < 30) THEN {_txs} ELSE out_z END AS out_z FROM {STATES} s")
 _tt_write("tt_update_where", lambda t, w: w.tt_update_where(t, F.col("value") > 90, {"value": F.lit(90.0)}, _TX),
           f"SELECT user_id, event_type, value, in_z, CASE WHEN out_z = {_INF} AND value > 90 THEN {_txs} ELSE out_z END AS out_z FROM {STATES} s UNION ALL SELECT user_id, event_type, 90.0, {_txs}, {_INF} FROM {STATES} s WHERE out_z = {_INF} AND value > 90")
 

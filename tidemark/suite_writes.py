@@ -64,6 +64,11 @@ def _values(rows: list[tuple], *names: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) v({', '.join(names)})"
 
 
+# ---- point and range reads of the workloads that the benchmark times
+
+_add("read_point", lambda s, sf: suite._shop(s, sf).rows(S.Order.where(S.Order.key == 7)), f"SELECT * FROM {suite.ORDERS} o WHERE o_orderkey = 7")
+_add("read_range", lambda s, sf: suite._shop(s, sf).rows(S.Order.where(S.Order.key.between(100, 1100))), f"SELECT * FROM {suite.ORDERS} o WHERE o_orderkey BETWEEN 100 AND 1100")
+
 # ---- composites are written as one document
 
 _PROFILE = "SELECT c_custkey, {} AS segment, {} AS balance, {} AS zip FROM customer"

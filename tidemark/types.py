@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 #: The open upper bound of an interval. Spark has no infinite timestamp and null is no bound.
 INFINITY = dt.datetime(9999, 12, 31, 23, 59, 59, 999999)
 
+#: The names of the neutral types.
 _SIMPLE = {
     "boolean": T.BooleanType(),
     "int32": T.IntegerType(),
