@@ -17,6 +17,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..model import AXIS_COLUMNS, Model, Relationship, SortKey
 from ..plans.includes import Node, tree, view_key
@@ -84,22 +85,24 @@ def _attach(compiler: Compiler, at: Position, nodes: Nodes, came: tuple[str, Rel
         payload = _payload(child, below, inner, compiler)
         # milestones of a root are views of their own: children valid at the milestone's start
         tie = {f"e{i}": AXIS_COLUMNS[a] for i, a in enumerate(shared)}
-        if tie:
-            parents = at.df.select(own.alias("k"), *[at.col(c[0]).alias(e) for e, c in tie.items()]).distinct()
-            inside = [temporal.holds(child.col(c[0]), child.col(c[1]), parents[e]) for e, c in tie.items()]
-            below = below.join(parents, reduce(lambda x, y: x & y, inside, key == parents["k"]))
-        ends = [F.col(e) for e in tie]
+        value = payload
         if r.to_many:
             pk = [SortKey(a.name) for a in m.primary_key(r.target)]
             keys = [*r.order_by, *[k for k in pk if k.attribute not in {x.attribute for x in r.order_by}]]
             first = sorted(child.active)[0]
             sort = [child.attribute(m.attribute(first, k.attribute)).alias(f"k{i}") for i, k in enumerate(keys)]
-            rows = below.select(key.alias("_key"), *[e.alias(f"_{n}") for n, e in zip(tie, ends, strict=True)], F.struct(*sort, payload.alias("v")).alias("_row"))
+            value = F.struct(*sort, payload.alias("v"))
+        if tie:
+            points = at.df.select(own.alias("_key"), *[at.col(c[0]).alias(f"_{e}") for e, c in tie.items()]).distinct()
+            rows = _at_starts(compiler, child, below, key, value, points, list(tie.values()))
+        else:
+            rows = below.select(key.alias("_key"), value.alias("_row"))
+        if r.to_many:
             grouped = rows.groupBy("_key", *[f"_{n}" for n in tie]).agg(F.collect_list("_row").alias("_rows"))
             ordered = F.array_sort("_rows") if _plain(keys, m, first, rows.schema["_row"].dataType) else F.array_sort("_rows", _comparator(keys))
             side = grouped.select("_key", *[f"_{n}" for n in tie], F.transform(ordered, lambda x: x["v"]).alias(view))
         else:
-            side = below.select(key.alias("_key"), *[e.alias(f"_{n}") for n, e in zip(tie, ends, strict=True)], payload.alias(view))
+            side = rows.withColumnRenamed("_row", view)
         side = side.alias(f"s_{child.alias}")
         same = [own == F.col(f"s_{child.alias}._key")]
         same += [at.col(c[0]) == F.col(f"s_{child.alias}._{e}") for e, c in tie.items()]
@@ -115,6 +118,33 @@ def _attach(compiler: Compiler, at: Position, nodes: Nodes, came: tuple[str, Rel
     return df, views
 
 
+def _at_starts(
+    compiler: Compiler, child: Position, below: DataFrame, key: Column, value: Column, points: DataFrame, axes: list[tuple[str, str]]
+) -> DataFrame:
+    """(_key, _e0.., _row): for each point of a key the children that hold there.
+
+    On one axis the milestones of a child follow each other, so the one that
+    holds at a point is the last that began: points and milestones are sorted
+    together and each is read once. On two axes rectangles are compared.
+    """
+    m = compiler.model
+    pk = [child.col(a.column).alias(f"_p{i}") for i, a in enumerate(m.primary_key(child.name))]
+    pk += [child.col(c).alias(f"_p{len(pk)}") for c in child.types if c == "familyVariant"]
+    names = [f"_p{i}" for i in range(len(pk))]
+    if len(axes) > 1:
+        inside = [temporal.holds(child.col(c[0]), child.col(c[1]), points[f"_e{i}"]) for i, c in enumerate(axes)]
+        joined = below.join(points, reduce(lambda x, y: x & y, inside, key == points["_key"]))
+        return joined.select(key.alias("_key"), *[points[f"_e{i}"] for i in range(len(axes))], value.alias("_row"))
+    start, end = axes[0]
+    chain = below.select(key.alias("_key"), *pk, child.col(start).alias("_e0"), F.struct(child.col(end).alias("end"), value.alias("row")).alias("_one"))
+    asked = chain.select("_key", *names).distinct().join(points, "_key").select("_key", *names, "_e0", F.lit(None).cast(chain.schema["_one"].dataType).alias("_one"))
+    # where both are at one instant the milestone comes first, since its start belongs to it
+    order = Window.partitionBy("_key", *names).orderBy("_e0", F.col("_one").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = chain.unionByName(asked).withColumn("_last", F.last("_one", ignorenulls=True).over(order))
+    found = every.where(F.col("_one").isNull() & (F.col("_last.end") > F.col("_e0")))
+    return found.select("_key", "_e0", F.col("_last.row").alias("_row"))
+
+
 def _plain(keys: list[SortKey], m: Model, name: str, row: T.StructType) -> bool:
     """Whether structs that begin with the sort keys are in order as they are compared by Spark itself."""
 

@@ -131,6 +131,15 @@ class Writer:
         df, _ = self._marked(table, keys, F.lit(True))
         return df.where(~F.col("_hit")).select(*table.columns)
 
+    def upsert(self, table: DataFrame, rows: DataFrame) -> DataFrame:
+        """Merge rows back that were read and changed elsewhere: known keys are updated, others inserted."""
+        known = table.select(*self.key)
+        return self.insert(self.update(table, rows), rows.join(known, self.key, "left_anti"))
+
+    def purge(self, table: DataFrame, keys: DataFrame) -> DataFrame:
+        """The table without any trace of some keys, all their milestones included."""
+        return table.join(keys.select(*self.key), self.key, "left_anti").select(*table.columns)
+
     def update_where(self, table: DataFrame, where: Column, assigned: Mapping[str, Column]) -> DataFrame:
         if self.model.entity(self.name).inheritance is not None:
             raise WriteRejected("subtype-write-set-based-unsupported", self.name)

@@ -362,6 +362,40 @@ def _classified(s: SparkSession, sf: str) -> DataFrame:
 
 _add("stored_data_classified", _classified, f"SELECT o_orderkey, o_orderkey % 5 <> 3 AS available, CASE o_orderkey % 5 WHEN 0 THEN '{ABSENT}' WHEN 1 THEN '{NULL}' WHEN 2 THEN '{ABSENT}' WHEN 3 THEN '{LEAF}' END AS code, CASE o_orderkey % 5 WHEN 0 THEN 'info' WHEN 1 THEN 'info' WHEN 2 THEN 'info.total' WHEN 3 THEN 'info.total' END AS path, CAST(o_orderkey % 5 <> 4 AS BIGINT) AS n FROM orders")
 
+# ---- merge-back and purge
+
+
+def _merged(s: SparkSession, sf: str) -> DataFrame:
+    c = suite._times(s, sf).catalog
+    rows = c.frame("customer").where("c_nationkey < 4").select((F.col("c_custkey") + F.when(F.col("c_nationkey") == 0, 1000000).otherwise(0)).alias("c_custkey"), F.lit(2.5).alias("c_acctbal"))
+    return Writer(suite.TIMES, "Account").upsert(c.frame("account"), rows)
+
+
+_add("write_merge_back", _merged, "SELECT c_custkey, CASE WHEN c_nationkey IN (1, 2, 3) THEN 2.5 ELSE c_acctbal END AS c_acctbal, CAST(CASE WHEN c_nationkey IN (1, 2, 3) THEN 2 ELSE 1 END AS INTEGER) AS version FROM customer UNION ALL SELECT c_custkey + 1000000, 2.5, 1 FROM customer WHERE c_nationkey = 0")
+
+
+def _purged(s: SparkSession, sf: str) -> DataFrame:
+    t = suite._times(s, sf).catalog.frame("user_state")
+    return Writer(suite.TIMES, "UserState").purge(t, t.where("value > 60").select("user_id").distinct())
+
+
+_add("tt_purge", _purged, f"SELECT user_id, event_type, value, in_z, out_z FROM {suite.STATES} s WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 60)")
+_add("fetch_history_bitemporal", lambda s, sf: _rectangles(s, sf),
+     f"SELECT a.key, a.in_z AS known, a.from_z AS start, b.amount FROM {suite.CONTRACTS} a JOIN {suite.CONTRACTS} b ON a.key = b.key AND b.from_z <= a.from_z AND b.thru_z > a.from_z AND b.in_z <= a.in_z AND b.out_z > a.in_z WHERE a.amount > 700000")
+
+
+def _rectangles(s: SparkSession, sf: str) -> DataFrame:
+    """The roots' rectangles and those of their twins that hold at each rectangle's corner."""
+    twin = Model(
+        Entity("One", (A("key", "int64", primary_key=True), A("amount", "float64")), "one", (R("twins", "Two", ("key", "key")),), temporality="bitemporal"),
+        Entity("Two", (A("key", "int64", primary_key=True), A("amount", "float64")), "two", temporality="bitemporal"),
+    )
+    t = suite.contracts(suite.base(s, sf)).drop("customer")
+    q = twin.ref.One.where(twin.ref.One.amount > 700000.0).history("valid").history("transaction").include(twin.ref.One.twins)
+    rows = Compiler(twin, Catalog({"one": t, "two": t})).fetch(q)
+    return rows.select("key", F.col("edge.transaction").alias("known"), F.col("edge.valid").alias("start"), F.explode("twins").alias("t")).select("key", "known", "start", "t.amount")
+
+
 # ---- sources, stores and results
 
 
