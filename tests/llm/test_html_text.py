@@ -194,3 +194,17 @@ def test_whole_extraction_against_brute_force(spark, weights):
     got = H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), weights).collect()
     for r in got:
         assert r.text in brute_text(rows[r.page_id][2], weights) and r.n_chars == len(r.text)
+
+
+def test_long_threads_of_comments_go(weights):
+    text, talk = "good " * 60, "<div><p>" + "reply here " * 40 + "</p></div>"
+    want = f"Head & line\n\n{text.strip()}"
+    for thread in (
+        f"<div class='comments'>{talk * 20}</div>", f"<section id=comments>{talk * 20}</section>",
+        "<ol class=comment-list>" + f"<li><article class='comment-body'>{talk}</article></li>" * 20 + "</ol>",
+        "".join(f"<article class='comment'>{talk}</article>" for _ in range(20)),
+    ):
+        assert H.extract(page(f"<p>{text}</p>{thread}"), weights) == want, thread[:40]
+        assert H.extract(page(f"<p>{text}</p>", thread), weights) == want, thread[:40]
+    # a page that is made of it keeps it
+    assert "reply here" in H.extract(f"<html><body><div id=comments>{talk * 5}</div></body></html>", weights)

@@ -55,12 +55,16 @@ MARKS = frozenset(
 #: Those that mark adverts, those of the head of a page or article, those that tell an article's head.
 ADS = frozenset("ad ads advert adverts advertisement advertising promo promos promoted sponsor sponsored".split())
 HEADS = frozenset("header masthead banner".split())
+#: Those of readers' comments, and words beside them that make a wrapper.
+THREAD = frozenset("comment comments disqus replies reply respond".split())
+WITH = frozenset("and has no with without".split())
 OWN = frozenset("article blog content entry headline news page post story title".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements of running text, which marks other than those of adverts do not cut.
 PROSE = frozenset("p li blockquote td th dd dt figcaption caption pre em strong span a b i".split())
-#: The largest share of a page's words that a mark alone may cut, and that a form may.
-SHARE, FORM_SHARE = 0.25, 0.5
+#: The largest share of a page's words that a mark alone may cut, and that a form may;
+#: the least share that must be left outside of marked elements where comments are cut whatever their length.
+SHARE, FORM_SHARE, LEFT = 0.25, 0.5, 0.02
 #: Elements that name the article itself.
 MAIN = frozenset("article main".split())
 
@@ -80,7 +84,7 @@ def _words(value: str) -> list[str]:
 
 
 def _mark(name: str, attrs: str) -> str:
-    """What class, id or role say: "noise", "head" (of a page or an article), "own" (head of an article) or nothing.
+    """What class, id or role say: "noise", "thread" (comments), "head" (of a page or an article), "own" (head of an article) or nothing.
 
     Ids of sections must be made of marks and headings have none, since ids are
     often made from titles; running text is marked by adverts only.
@@ -93,7 +97,7 @@ def _mark(name: str, attrs: str) -> str:
         if some and not (name == "section" and m[1].lower() == "id" and not all(w in MARKS for w in words)):
             if some <= HEADS:
                 return "own" if any(w in OWN for w in words) else "head"
-            return "noise"
+            return "thread" if some & THREAD and not any(w in WITH for w in words) else "noise"
     return ""
 
 
@@ -119,6 +123,8 @@ def tokens(page: str) -> Iterator[Token]:
     others outside of marked elements. So no wrapper of the content is cut.
     Forms and headers are such elements by their name; a form may hold up to
     ``FORM_SHARE`` of the words, and the head of an article, with its title, stays.
+    Comments are cut whatever their length if ``LEFT`` of the words are outside of
+    marked elements; a comment may be an article element.
     """
     # kind, value, cut by name, number of the innermost element around that may be cut
     found: list[tuple[str, str, bool, int]] = []
@@ -169,7 +175,9 @@ def tokens(page: str) -> Iterator[Token]:
             close(k)
             cut, mine = stack[-1][1:3] if stack else (False, -1)
         around = mine
-        kind = name if name in MAYBE else "" if name in CUT or name in MAIN or name in ("body", "html") else _mark(name, attrs)
+        kind = name if name in MAYBE else "" if name in CUT or name in ("body", "html") else _mark(name, attrs)
+        if name in MAIN and kind != "thread":
+            kind = ""
         if kind:
             mine = len(may)
             may.append(_Element(kind, len(found), around))
@@ -198,19 +206,22 @@ def _gone(found: list[tuple[str, str, bool, int]], may: list[_Element]) -> list[
     """For each element that may be cut whether it is, for itself."""
     depths = _depths([(kind, value, cut) for kind, value, cut, _ in found])
     words, mains, titles, menus = [0], [0], [0], [0]
-    free = False
+    free, left = False, 0
     for (kind, value, cut, k), depth in zip(found, depths):
         words.append(words[-1] + (len(value.split()) if kind == "text" and not cut else 0))
         mains.append(mains[-1] + (kind == "open" and value in MAIN and not cut))
         titles.append(titles[-1] + (kind == "open" and value in HEADING and not cut))
         menus.append(menus[-1] + (kind == "open" and value in ("nav", "menu")))
         free = free or (kind == "text" and depth > 0 and not cut and k < 0 and not value.isspace())
+        left += words[-1] - words[-2] if k < 0 else 0
     out = []
     for e in may:
         share = words[e.end] - words[e.first]
         small = share <= (FORM_SHARE if e.kind == "form" else SHARE) * words[-1]
         titled = titles[e.end] > titles[e.first] and menus[e.end] == menus[e.first]
-        if mains[e.end] > mains[e.first]:
+        if e.kind == "thread" and left >= max(1, LEFT * words[-1]):
+            out.append(True)
+        elif mains[e.end] > mains[e.first]:
             out.append(free and small)
         elif titled and (e.kind == "own" or (e.kind in ("head", "header") and depths[e.first] > 0)):
             out.append(False)
