@@ -141,3 +141,31 @@ def test_wire(db):
     assert ids(db, M.Site.where(M.Site.place.price == Decimal("3.25"))) == [50]
     db.transact(lambda tx: tx.write({"verb": "insert", "entity": "Rent", "validFrom": "2024-01-01T00:00:00Z", "rows": [{"id": 1, "amount": 1.0}]}))
     assert db.find(M.Rent.where().as_of("valid", D(2024, 1, 1))).result().amount == 1.0
+
+
+def test_results(db):
+    q = M.Note.where().as_of("transaction", D(2024, 1, 5))
+    assert db.find(q).pin() == {"transaction": D(2024, 1, 5)} and db.find(M.Note.where()).pin() == {"transaction": None}
+    assert [len(p) for p in db.find(M.Part.where()).pages(4)] == [4, 4, 1]
+    pairs = db.find(M.Site.where(M.Site.id == 2)).related("parts").df.select("parent.name", "child.n").collect()
+    assert sorted(map(tuple, pairs)) == [("s2", 0), ("s2", 1), ("s2", 2)]
+
+
+def test_models_as_yaml():
+    yaml = pytest.importorskip("yaml")
+    from tidemark.sources import descriptor
+
+    text = yaml.safe_dump(json.loads(descriptor.dump(MODEL)))
+    assert descriptor.load(text).entities == MODEL.entities
+    with pytest.raises(yaml.YAMLError):
+        descriptor.load("{ [")
+
+
+def test_merge_back_and_purge(db, spark):
+    from tidemark.operators.writes import Writer
+
+    table = db.catalog.frame("part")
+    changed = spark.createDataFrame([(10, 1, 77), (99, 3, 5)], "id long, site_id long, n int")
+    out = {r.id: (r.site_id, r.n) for r in Writer(MODEL, "Part").upsert(table, changed).collect()}
+    assert len(out) == 10 and out[10] == (1, 77) and out[99] == (3, 5) and out[11] == (1, 1)
+    assert Writer(MODEL, "Part").purge(table, changed).count() == 8
