@@ -32,8 +32,7 @@ from .scratch import Scratch
 
 U = np.uint64
 WINDOW = 20
-SLICES = 128  # at least
-SLICE_BYTES = 12 << 20  # of text whose entries make up a slice; an entry is 8 bytes for a word
+SLICE_BYTES = 4 << 20  # of text whose entries make up a slice; an entry is 8 bytes for a word
 BUCKET_BYTES = 800_000  # of texts that are worked on at once
 BATCH_BYTES = 2 << 20
 BATCH_ROWS = 16_000
@@ -317,7 +316,7 @@ def remove_repeats(
     scratch = Scratch(spark, "substring-dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits, buckets = max(SLICES, size // SLICE_BYTES).bit_length() - 1, size // BUCKET_BYTES + 1
+    bits, buckets = (size // SLICE_BYTES).bit_length(), size // BUCKET_BYTES + 1
     known = rows.where("id is not null").select(
         "id", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"), "text"
     )
